@@ -1,24 +1,46 @@
-"""The corpus pipeline: each stage reads what its predecessor kept, as Parquet."""
+"""The corpus pipeline: each stage reads what its predecessor kept, as Parquet.
+
+Every stage but the last returns the columns of documents; the last one encodes what is left and decodes it again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from penforge.llm import bpe, exact_dedup
+from penforge.llm import bpe, decontaminate, exact_dedup, ngram_join, quality
 from penforge.llm.common import fresh_path, read_table
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     return bpe.encode_decode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 
 
-STAGES = [("exact dedup", dedup), ("byte-level BPE", encode)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_leaks),
+    ("byte-level BPE", token_ids),
+]
+#: SQL can't express the classifier, nor edit matching or BPE.
 ORACLE_SQL = None
 
 

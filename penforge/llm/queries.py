@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, pii, sharding, token_orc
+from . import bpe, decontaminate, exact_dedup, html_text, ngram_join, pii, quality, sharding, token_orc, toxicity
 
 QUERIES = {
+    "op1_quality_qda": quality.op1_quality_qda,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_html_text": html_text.op3_html_text,
     "op4_token_orc": token_orc.op4_token_orc,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     "op9_pii": pii.op9_pii,
     "op10_byte_bpe": bpe.op10_byte_bpe,
