@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import read_table, whole_text
 
 #: Characters of text, or ids, that are worked on at once; a longer text makes a batch of its own.
-BATCH_CHARS, BATCH_IDS = 2_000_000, 600_000
+BATCH_CHARS, BATCH_IDS = 1_000_000, 300_000
 #: Entries of each of the two generations of a cache.
-CACHE = 200_000
+CACHE = 150_000
 #: Words per recursive query.
-QUERY_WORDS = 20_000
+QUERY_WORDS = 10_000
 
 ENCODE_SQL = """
 WITH RECURSIVE state(word, round, ids) AS (
@@ -74,7 +74,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.by_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.words, self.chunks = Cache(), Cache()
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         pairs, merged = [], []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -215,22 +215,21 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, so with one Python worker a task."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
         for batch in batches:
-            ids = batch.column(1)
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            named = [hashlib.sha256(",".join(map(str, flat[a:b].tolist())).encode()).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
-            read = [hashlib.sha256(x.as_py()).hexdigest() for x in batch.column(2)]
-            yield pa.record_batch([batch.column(0), pa.array((ends[1:] - ends[:-1]).astype(np.int64)), pa.array(named), pa.array(read)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
+            texts = batch.column(1).to_pylist()
+            for part in slices([len(t) for t in texts], BATCH_CHARS):
+                ids = [np.frombuffer(x, "<u4") for x in own.encode(texts[part])]
+                named = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
+                read = [hashlib.sha256(x).hexdigest() for some in slices([len(x) for x in ids], BATCH_IDS) for x in own.decode(ids[some])]
+                yield pa.record_batch([batch.column(0)[part], pa.array([len(x) for x in ids], pa.int64()), pa.array(named), pa.array(read)], names)
 
-def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    return digest(decode(encode(docs, path, pattern), path, pattern))
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
