@@ -10,6 +10,7 @@ have their own place, ordered by text; empty input gives no rows; further column
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,8 @@ END_ID = 1
 BATCH_CHARS = 4_000_000
 #: New words are encoded in joined texts of about so many words, with MARK, a word of one id, between them.
 JOINED, MARK = 2_000, "\x02"
+#: A word of Latin-1 letters, then ASCII marks other than an apostrophe, is two pieces for the tokenizer's pattern.
+PIECES = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: White space of str.split that the tokenizer's pattern doesn't count as such.
 ODD = {"\x1c", "\x1d", "\x1e", "\x1f"}
 
@@ -38,34 +41,57 @@ ORC_OPTIONS = {
 
 class Encoder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Cache()
-        (self.mark,) = self._ids(MARK)
+        # For lower-case Latin-1 letters the normalizer and the pattern change nothing, so they are left out.
+        self.light = Tokenizer(self.tokenizer.model)
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words, self.letters, self.marks = Cache(100_000), Cache(250_000), Cache(1_000)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _joined(self, tokenizer, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """No token of this vocabulary crosses white space, so words are encoded together and cut at MARK."""
-        plain = [w for w in words if MARK not in w]
-        for at in range(0, len(plain), JOINED):
-            some = plain[at : at + JOINED]
-            ids = np.array(self._ids(f" {MARK} ".join(some)), "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            flat, starts, ends = ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            assert len(starts) == len(some), "the mark came out of a word"
-            for w, a, b in zip(some, starts, ends):
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = np.array(tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark).tolist()
+            assert len(cuts) == len(some) - 1, "the mark came out of a word"
+            flat = ids.tobytes()
+            for w, a, b in zip(some, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)]):
                 yield w, flat[4 * a : 4 * b]
+
+    def _learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        cut, whole = [], []
         for w in words:
+            if m := PIECES.fullmatch(w):
+                cut.append((w, m[1].lower(), m[2]))
+            else:
+                whole.append(w)
+        letters, marks = {}, {}
+        for known, cache, part, tokenizer in ((letters, self.letters, 1, self.light), (marks, self.marks, 2, self.tokenizer)):
+            new = []
+            for x in dict.fromkeys([c[part] for c in cut]):
+                if (hit := cache.get(x)) is None:
+                    new.append(x)
+                else:
+                    known[x] = hit
+            for x, ids in self._joined(tokenizer, [x for x in new if x]):
+                known[x] = ids
+                if len(x) <= 64:
+                    cache[x] = ids
+        marks[""] = b""
+        for w, x, y in cut:
+            yield w, letters[x] + marks[y]
+        yield from self._joined(self.tokenizer, [w for w in whole if MARK not in w])
+        for w in whole:
             if MARK in w:
-                yield w, np.array(self._ids(w), "<u4").tobytes()
+                yield w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [[t] if not ODD.isdisjoint(t) else t.split() for t in texts]
         known, new = {}, []
-        for w in dict.fromkeys(w for words in cut for w in words):
+        for w in {w for words in cut for w in words}:
             if (hit := self.words.get(w)) is None:
                 new.append(w)
             else:
