@@ -44,7 +44,8 @@ _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-POSTING = np.dtype([("token", "<u8"), ("rec", "<i8"), ("n", "<i4")])
+#: Postings hold half a shingle: what two shingles of one half share is verified away.
+POSTING = np.dtype([("token", "<u4"), ("rec", "<i8"), ("n", "<i4")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -105,6 +106,11 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def extra(n: int) -> int:
+    """With so many shingles more in each prefix, a linked pair shares so many more than one of them."""
+    return n // 20
+
+
 def _batched(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, list[bytes]]]:
     texts = batch.column(column).cast(pa.binary()).to_pylist()
     for part in slices([len(t) for t in texts], BATCH_BYTES):
@@ -131,7 +137,7 @@ def _digested(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _dealt(parts: list[np.ndarray], key: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, data): the records of parts, packed by bucket of the key."""
     rows = np.concatenate(parts)
-    bucket = (key >> np.uint64(24)) % np.uint64(buckets)
+    bucket = (key >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -168,10 +174,10 @@ def _postings(sets: DataFrame, heavy, percent: int, buckets: int, lacking: bool)
         known = heavy.value
         for batch in batches:
             recs, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            kept, short = [], []
+            kept, keys, short = [], [], []
             for rec, n, low in zip(recs, ns, batch.column(2)):
                 s = np.frombuffer(low.as_buffer(), "<u8")
-                p = n - needed(n, percent) + 1
+                p = min(n, n - needed(n, percent) + 1 + extra(n))
                 if len(known):
                     common = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
                     light = s[~common][:p]
@@ -183,12 +189,13 @@ def _postings(sets: DataFrame, heavy, percent: int, buckets: int, lacking: bool)
                 else:
                     light = s[:p]
                 row = np.empty(len(light), POSTING)
-                row["token"], row["rec"], row["n"] = light, rec, n
+                row["token"], row["rec"], row["n"] = (light & np.uint64(0xFFFFFFFF)), rec, n
                 kept.append(row)
+                keys.append(light)
             if lacking:
                 yield pa.record_batch([pa.array(short, pa.int64())], ["rec"])
             elif kept:
-                yield from _dealt(kept, np.concatenate([k["token"] for k in kept]), buckets)
+                yield from _dealt(kept, np.concatenate(keys), buckets)
 
     return sets.select("rec", "n", "low").mapInArrow(run, "rec long" if lacking else "bucket int, data binary")
 
@@ -201,17 +208,22 @@ def _lists(table: pa.Table) -> pa.Table:
     group = np.cumsum(new) - 1
     several = np.bincount(group)[group] > 1
     leader = rows["rec"][np.flatnonzero(new)][group]
-    return pa.table({"bucket": pa.array(np.full(int(several.sum()), table["bucket"][0].as_py(), np.int32)), "token": rows["token"][several].view("<i8"), "rec": rows["rec"][several], "n": rows["n"][several], "leader": leader[several]})
+    return pa.table({"bucket": pa.array(np.full(int(several.sum()), table["bucket"][0].as_py(), np.int32)), "token": rows["token"][several].astype(np.int64), "rec": rows["rec"][several], "n": rows["n"][several], "leader": leader[several]})
 
 
 def _cross(percent: int):
+    def summed(found: list[np.ndarray]) -> np.ndarray:
+        rows = np.concatenate(found)
+        pairs, at = np.unique(rows[:, :3], axis=0, return_inverse=True)
+        return np.column_stack([pairs, np.bincount(at.ravel(), weights=rows[:, 3]).astype(np.int64)])
+
     def run(table: pa.Table) -> pa.Table:
-        """Pairs of different classes on a list whose sizes allow the overlap, each pair once."""
+        """Pairs of different classes whose sizes allow the overlap, with the size of the smaller and the lists they share."""
         token, rec, n, cls = (table[c].to_numpy() for c in ("token", "rec", "n", "cls"))
         order = np.lexsort((rec, n, token))
         token, rec, n, cls = token[order], rec[order], n[order], cls[order]
         cuts = [0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]
-        found, held = [], 0
+        found, held = [np.zeros((0, 4), np.int64)], 0
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a < 2 or (cls[a:b] == cls[a]).all():
                 continue
@@ -219,13 +231,13 @@ def _cross(percent: int):
             for i in range(b - a - 1):
                 j = i + 1 + np.flatnonzero((classes[i + 1 :] != classes[i]) & (sizes[i + 1 :] * percent <= 100 * sizes[i]))
                 if len(j):
-                    found.append(np.stack([np.full(len(j), recs[i]), recs[j]], 1))
+                    one = np.ones(len(j), np.int64)
+                    found.append(np.column_stack([one * recs[i], recs[j], one * sizes[i], one]))
                     held += len(j)
-            if held > 2_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                held = 0
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"q": pairs[:, 0], "c": pairs[:, 1]})
+            if held > 1_000_000:
+                found, held = [summed(found)], 0
+        pairs = summed(found)
+        return pa.table(dict(zip(("q", "c", "n", "votes"), pairs.T)))
 
     return run
 
@@ -322,40 +334,49 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def join_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs. Linked: 100 * overlap >= percent * union."""
     spark = docs.sparkSession
-    rows = stored(_digested(docs, words, percent), "shingles")
-    reps = rows.groupBy("sig").agg(F.min("doc_id").alias("any_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("low").alias("low"))
-    reps = stored(reps.withColumn("rec", F.monotonically_increasing_id()), "shingle-sets")
-    own = reps.where("n > 0")
-    n_rows, total = reps.agg(F.sum("size"), F.sum(F.octet_length("low") / 8)).first()
-    total = int(total or 0)
+    rows = stored(_digested(docs, words, percent).withColumn("rec", F.monotonically_increasing_id()), "shingles")
+    # one row stands for its set; the others are few next to all rows and are left out by their numbers
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rec"))
+    reps = rows.groupBy("sig").agg(first_row.alias("best"), F.count("*").alias("size"), F.first("n").alias("n"))
+    reps = stored(reps.select("sig", "size", "n", F.col("best.doc_id").alias("any_id"), F.col("best.rec").alias("rec")), "shingle-sets")
+    others = stored(rows.select("rec").join(reps.select("rec"), "rec", "left_anti"), "copies")
+    own = rows.where("n > 0").join(F.broadcast(others) if others.count() <= WANTED else others, "rec", "left_anti").select("rec", "n", "low")
+    named_sets = reps.select("rec", "sig", "any_id")
+    n_rows = rows.count()
+    total = int(own.agg(F.sum(F.octet_length("low") / 8)).first()[0] or 0)
     buckets = max(12, -(-total // BUCKET_POSTINGS))
-    heavy_tokens = _heavy(own, total, buckets) if total else np.zeros(0, "<u8")
-    heavy = spark.sparkContext.broadcast(heavy_tokens)
+    heavy = spark.sparkContext.broadcast(_heavy(own, total, buckets) if total else np.zeros(0, "<u8"))
     short = stored(_postings(own, heavy, percent, buckets, True), "short")
     postings = _postings(own, heavy, percent, buckets, False)
     if short.head(1):
-        postings = postings.unionByName(_postings(_whole_sets(docs, own.join(short, "rec"), words), heavy, percent, buckets, False))
+        postings = postings.unionByName(_postings(_whole_sets(docs, named_sets.join(short, "rec"), words), heavy, percent, buckets, False))
     kind = "bucket int, token long, rec long, n int, leader long"
     lists = stored(postings.groupBy("bucket").applyInArrow(_lists, kind), "lists")
-    votes = lists.where("rec <> leader").groupBy("rec", "leader").agg(F.count("*").alias("votes"))
-    first = votes.groupBy("rec").agg(F.max(F.struct("votes", (-F.col("leader")).alias("least"))).alias("best"))
-    first = stored(first.select((-F.col("best.least")).alias("q"), F.col("rec").alias("c")), "first-pairs")
-    members = lists.select("rec").distinct()
-    sets = stored(_whole_sets(docs, own.join(members, "rec", "left_semi"), words), "whole-sets")
-    links = stored(_verified(first, sets, percent), "first-links")
+    enough = F.col("votes") > F.floor(F.col("n") / 20)  # more than extra(n)
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        members = pairs.select(F.explode(F.array("q", "c")).alias("rec")).distinct()
+        sets = stored(_whole_sets(docs, named_sets.join(members, "rec", "left_semi"), words), "whole-sets")
+        return stored(_verified(pairs.select("q", "c"), sets, percent), "links")
+
+    votes = lists.where("rec <> leader").groupBy("rec", "leader").agg(F.count("*").alias("votes"), F.min("n").alias("n"))
+    first = votes.groupBy("rec").agg(F.max(F.struct("votes", (-F.col("leader")).alias("least"), "n")).alias("best"))
+    first = first.select((-F.col("best.least")).alias("q"), F.col("rec").alias("c"), "best.votes", "best.n")
+    links = links_of(stored(first.where(F.col("votes") > F.col("n") / 25), "first-pairs"))
     classes = connected_components(links, "q", "c")
-    # a class of two rounds: pairs on a list that are still apart
+    # of each list, the pairs that are still apart; a linked pair shares more than extra() lists
     marked = lists.select("bucket", "token", "rec", "n").join(classes, F.col("rec") == F.col("node"), "left").select("bucket", "token", "rec", "n", F.coalesce("component", "rec").alias("cls"))
-    apart = stored(marked.groupBy("bucket").applyInArrow(_cross(percent), "q long, c long").distinct(), "cross-pairs")
-    more = stored(_verified(apart, sets, percent), "cross-links")
+    apart = marked.groupBy("bucket").applyInArrow(_cross(percent), "q long, c long, n long, votes long")
+    apart = stored(apart.groupBy("q", "c").agg(F.min("n").alias("n"), F.sum("votes").alias("votes")).where(enough), "cross-pairs")
+    more = links_of(apart)
     classes = connected_components(links.unionByName(more), "q", "c")
-    named = reps.select("sig", "size", "any_id", "rec").join(classes, F.col("rec") == F.col("node"), "left").select("sig", "size", "any_id", "rec", F.when(F.col("node").isNotNull(), F.col("component")).otherwise(F.col("rec")).alias("cls"))
+    named = reps.select("sig", "size", "any_id", "rec").join(classes, F.col("rec") == F.col("node"), "left").select("sig", "size", "any_id", "rec", F.coalesce("component", "rec").alias("cls"))
     named = stored(named, "named")
     least = named.groupBy("cls").agg(F.min("any_id").alias("component_id"))
     by_sig = stored(named.join(least, "cls").select("sig", "size", "component_id"), "by-sig")
     hot_size = max(2, int((n_rows or 0) * 0.001))  # at most 1000 sets are that common
     hot, rest = F.broadcast(by_sig.where(F.col("size") >= hot_size)), by_sig.where(F.col("size") < hot_size)
-    filled, empty = rows.where("n > 0").drop("low"), rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    filled, empty = rows.where("n > 0").select("doc_id", "n", "sig"), rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = filled.join(hot.select("sig", "component_id"), "sig").unionByName(filled.join(hot.select("sig"), "sig", "left_anti").join(rest.select("sig", "component_id"), "sig"))
     return out.select("doc_id", "n", "component_id").unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
