@@ -212,32 +212,39 @@ def _lists(table: pa.Table) -> pa.Table:
 
 
 def _cross(percent: int):
-    def summed(found: list[np.ndarray]) -> np.ndarray:
-        rows = np.concatenate(found)
-        pairs, at = np.unique(rows[:, :3], axis=0, return_inverse=True)
-        return np.column_stack([pairs, np.bincount(at.ravel(), weights=rows[:, 3]).astype(np.int64)])
-
     def run(table: pa.Table) -> pa.Table:
         """Pairs of different classes whose sizes allow the overlap, with the size of the smaller and the lists they share."""
         token, rec, n, cls = (table[c].to_numpy() for c in ("token", "rec", "n", "cls"))
         order = np.lexsort((rec, n, token))
         token, rec, n, cls = token[order], rec[order], n[order], cls[order]
+        recs, place = np.unique(rec, return_inverse=True)
+        size_of = np.zeros(len(recs), np.int64)
+        size_of[place] = n
         cuts = [0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]
-        found, held = [np.zeros((0, 4), np.int64)], 0
+        keys, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found: list[np.ndarray] = []
+        held = 0
+
+        def add(keys, votes):
+            new, at = np.unique(np.concatenate([keys, *found]), return_inverse=True)
+            weight = np.concatenate([votes, np.ones(sum(map(len, found)), np.int64)])
+            found.clear()
+            return new, np.bincount(at, weights=weight, minlength=len(new)).astype(np.int64)
+
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a < 2 or (cls[a:b] == cls[a]).all():
                 continue
-            sizes, recs, classes = n[a:b], rec[a:b], cls[a:b]
+            sizes, places, classes = n[a:b], place[a:b], cls[a:b]
             for i in range(b - a - 1):
                 j = i + 1 + np.flatnonzero((classes[i + 1 :] != classes[i]) & (sizes[i + 1 :] * percent <= 100 * sizes[i]))
                 if len(j):
-                    one = np.ones(len(j), np.int64)
-                    found.append(np.column_stack([one * recs[i], recs[j], one * sizes[i], one]))
+                    found.append(places[i] * len(recs) + places[j])
                     held += len(j)
-            if held > 1_000_000:
-                found, held = [summed(found)], 0
-        pairs = summed(found)
-        return pa.table(dict(zip(("q", "c", "n", "votes"), pairs.T)))
+                if held > 500_000:
+                    (keys, votes), held = add(keys, votes), 0
+        keys, votes = add(keys, votes)
+        q, c = keys // max(1, len(recs)), keys % max(1, len(recs))
+        return pa.table({"q": recs[q], "c": recs[c], "n": size_of[q], "votes": votes})
 
     return run
 
