@@ -154,14 +154,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE)
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    for items in chunks(benchmark):
-
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, items=items) -> pd.Series:
+    def leaks(items: tuple):
+        def run(texts: pd.Series) -> pd.Series:
             own = matcher(items, rate)
-            return texts.map(lambda t: bool(own.matches(t))).astype(bool)
+            return pd.Series([bool(own.matches(t)) for t in texts], dtype=bool)
 
-        docs = docs.where(~leaks(whole_text()))
+        return F.pandas_udf(run, "boolean")
+
+    for items in chunks(benchmark):
+        docs = docs.where(~leaks(items)(whole_text()))
     return docs
 
 
