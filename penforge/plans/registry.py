@@ -8,8 +8,9 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import rules
-from ..operators import lint, review
+from ..operators import blockxml, decisions, lint, outline, report, review
 from ..sources.corpus import ZH_SQL, zh_corpus
+from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -250,3 +251,93 @@ def rewrite_conflicts(spark, sf_dir):
     found = QUERIES["lint_findings_general"](spark, sf_dir)
     spans = found.select("doc_id", F.concat_ws("-", "rule_id", "ln", "col").alias("decision_id"), (F.col("ln") * 1000 + F.col("col")).alias("start"), (F.col("ln") * 1000 + F.col("col") + F.length("found")).alias("end_"))
     return review.accepted_rewrites(spans)
+
+
+# --- reports, files, sections, block XML, decision algebra, streams --------------------------------------------------
+
+
+@query("report_lines", f"""
+SELECT doc_id, ln, col, rule_id, concat(filename, ':', ln, ':', col, '  ', rule_id, repeat(' ', greatest(0, 5 - len(rule_id))), ' ', severity, repeat(' ', greatest(0, 10 - len(severity))), ' ', category, '  「', found, '」') AS line
+FROM ({findings_sql('general')})
+""")
+def report_lines(spark, sf_dir):
+    return report.finding_lines(QUERIES["lint_findings_general"](spark, sf_dir))
+
+
+@query("report_totals", f"SELECT filename, count(*) AS n_findings FROM ({findings_sql('general')}) GROUP BY ROLLUP (filename)")
+def report_totals(spark, sf_dir):
+    return report.totals(QUERIES["lint_findings_general"](spark, sf_dir))
+
+
+@query("report_exit_code", f"SELECT CAST(count_if(severity IN ('error', 'warning')) > 0 AS INTEGER) AS exit_code FROM ({findings_sql('general')})")
+def report_exit_code(spark, sf_dir):
+    return report.exit_code(QUERIES["lint_findings_general"](spark, sf_dir), "warning")
+
+
+_FILES = """SELECT concat(CASE doc_id % 4 WHEN 0 THEN 'docs/' WHEN 1 THEN 'node_modules/' WHEN 2 THEN '.git/' ELSE 'notes/draft/' END, 'f', CAST(doc_id AS VARCHAR(20)),
+  CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.py' ELSE '.markdown' END) AS path FROM documents"""
+
+
+@query("walked_files", f"SELECT DISTINCT path FROM ({_FILES}) WHERE regexp_matches(path, '[.](md|txt|rst|markdown)$') AND NOT starts_with(path, '.git/') AND NOT starts_with(path, 'node_modules/')")
+def walked_files(spark, sf_dir):
+    table(spark, sf_dir, "documents").select("doc_id").createOrReplaceTempView("documents")
+    return report.walked(spark.sql(_FILES), (".git", "node_modules"))
+
+
+@query("ignored_files", f"SELECT path FROM ({_FILES}) WHERE NOT (starts_with(path, 'notes/') OR regexp_matches(path, '/f[^/]*7[.]md$'))")
+def ignored_files(spark, sf_dir):
+    table(spark, sf_dir, "documents").select("doc_id").createOrReplaceTempView("documents")
+    return report.not_ignored(spark.sql(_FILES), ["# drafts", "", "notes/", "f*7.md"])
+
+
+@query("effective_profile", f"SELECT doc_id, CASE WHEN filename LIKE '%SKILL.md' THEN 'instruction' ELSE 'general' END AS profile FROM ({ZH_SQL})")
+def effective_profile(spark, sf_dir):
+    return zh_corpus(spark, sf_dir).select("doc_id", report.effective_profile(F.col("filename"), "general").alias("profile"))
+
+
+_HEADS = f"SELECT doc_id, ln, len(regexp_extract(raw, '^(#+) ', 1)) AS level, trim(regexp_replace(raw, '^#+ ', '')) AS title FROM ({_LINES}) WHERE starts_with(raw, '#')"
+
+
+@query("section_ranges", f"""
+WITH h AS ({_HEADS}), p AS (SELECT a.*, coalesce((SELECT max(b.ln) FROM h b WHERE b.doc_id = a.doc_id AND b.ln < a.ln AND b.level < a.level), 0) AS parent FROM h a),
+s AS (SELECT *, concat(title, '[', row_number() OVER (PARTITION BY doc_id, parent, title ORDER BY ln), ']') AS step FROM p),
+e AS (SELECT a.doc_id, a.ln, min(b.ln) - 1 AS end_ln FROM h a LEFT JOIN h b ON b.doc_id = a.doc_id AND b.ln > a.ln AND b.level <= a.level GROUP BY ALL)
+SELECT s.doc_id, CAST(s.ln AS INTEGER) AS ln, CAST(s.level AS INTEGER) AS level, s.title, CAST(e.end_ln AS INTEGER) AS end_ln, CASE WHEN u.step IS NULL THEN s.step ELSE concat(u.step, '/', s.step) END AS locator
+FROM s JOIN e USING (doc_id, ln) LEFT JOIN s u ON u.doc_id = s.doc_id AND u.ln = s.parent
+""")
+def section_ranges(spark, sf_dir):
+    return outline.sections(lint.headings(lint.lines(zh_corpus(spark, sf_dir), False)))
+
+
+_XML = f"""SELECT doc_id, ln, CASE WHEN raw LIKE '#%' THEN 'heading' WHEN raw LIKE '> %' THEN 'blockquote' WHEN raw LIKE '- %' THEN 'list_item' ELSE 'paragraph' END AS kind,
+  CASE WHEN raw LIKE '#%' THEN 3 WHEN raw LIKE '> %' OR raw LIKE '- %' THEN 2 ELSE 0 END AS prefix, trim(regexp_replace(raw, '^(#+|>|-) ', '')) AS text FROM ({{lines}})"""
+
+
+@query("xml_spans", f"""
+WITH b AS (SELECT *, len(text) AS n FROM ({_XML.format(lines=_LINES)}) WHERE text <> ''),
+o AS (SELECT *, coalesce(sum(prefix + n + 2) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + prefix AS start FROM b)
+SELECT doc_id, concat('b', ln) AS block_id, kind, CAST(start AS INTEGER) AS start, CAST(start + n AS INTEGER) AS end_, text, kind <> 'heading' AS writable FROM o
+""")
+def xml_spans(spark, sf_dir):
+    lint.lines(zh_corpus(spark, sf_dir), False).select("doc_id", "ln", "raw").createOrReplaceTempView("zh_lines")
+    rows = spark.sql(_XML.format(lines="SELECT * FROM zh_lines"))
+    tag = F.when(F.col("kind") == "heading", "h2").when(F.col("kind") == "blockquote", "blockquote").when(F.col("kind") == "list_item", "li").otherwise("p")
+    block = F.concat(F.lit("<"), tag, F.lit(' id="b'), F.col("ln"), F.lit('">'), "text", F.lit("</"), tag, F.lit(">"))
+    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ln", block.alias("x")))).alias("all")).select("doc_id", F.array_join("all.x", "").alias("xml"))
+    return blockxml.spans(docs).where("error IS NULL").select("doc_id", "block_id", "kind", "start", "end_", "text", "writable")
+
+
+@query("patch_approval", """
+WITH a AS (SELECT event_id % 700 AS patch_id, count(*) AS n_a FROM events WHERE event_type = 'purchase' GROUP BY 1), b AS (SELECT event_id % 900 AS patch_id, count(*) AS n_b FROM events WHERE event_type = 'signup' GROUP BY 1)
+SELECT patch_id, CASE WHEN n_a > 1 OR n_b > 1 THEN 'duplicate' WHEN n_b IS NULL THEN 'missing' WHEN n_a IS NULL THEN 'extra' ELSE 'ok' END AS state FROM a FULL JOIN b USING (patch_id)
+""")
+def patch_approval(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return decisions.approval(
+        events.where("event_type = 'purchase'").select((F.col("event_id") % 700).alias("patch_id")), events.where("event_type = 'signup'").select((F.col("event_id") % 900).alias("patch_id"))
+    )
+
+
+@query("event_request_stream", SQL["event_request_rows"])
+def event_request_stream(spark, sf_dir):
+    return jobs.requests(jobs.event_stream(spark, f"{sf_dir}/events.parquet"))
