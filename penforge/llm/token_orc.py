@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bpe import Cache, slices
+from .bpe import slices
 from .common import fresh_path, read_table, whole_text
 
 END_ID = 1
@@ -31,7 +31,9 @@ JOINED, MARK = 2_000, "\x02"
 #: A word of Latin-1 letters, then ASCII marks other than an apostrophe, is two pieces for the tokenizer's pattern.
 PIECES = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: White space of str.split that the tokenizer's pattern doesn't count as such.
-ODD = {"\x1c", "\x1d", "\x1e", "\x1f"}
+ODD = "\x1c\x1d\x1e\x1f"
+#: What is remembered is forgotten between batches once it is more words, or letter runs; longer ones never stay.
+MOST_WORDS, MOST_LETTERS, LONGEST = 300_000, 500_000, 64
 
 ORC_OPTIONS = {
     "compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
@@ -47,7 +49,9 @@ class Encoder:
         # For lower-case Latin-1 letters the normalizer and the pattern change nothing, so they are left out.
         self.light = Tokenizer(self.tokenizer.model)
         self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.words, self.letters, self.marks = Cache(100_000), Cache(250_000), Cache(1_000)
+        self.words: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def _joined(self, tokenizer, words: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -68,19 +72,9 @@ class Encoder:
                 cut.append((w, m[1].lower(), m[2]))
             else:
                 whole.append(w)
-        letters, marks = {}, {}
-        for known, cache, part, tokenizer in ((letters, self.letters, 1, self.light), (marks, self.marks, 2, self.tokenizer)):
-            new = []
-            for x in dict.fromkeys([c[part] for c in cut]):
-                if (hit := cache.get(x)) is None:
-                    new.append(x)
-                else:
-                    known[x] = hit
-            for x, ids in self._joined(tokenizer, [x for x in new if x]):
-                known[x] = ids
-                if len(x) <= 64:
-                    cache[x] = ids
-        marks[""] = b""
+        letters, marks = self.letters, self.marks
+        letters.update(self._joined(self.light, list({c[1] for c in cut} - letters.keys())))
+        marks.update(self._joined(self.tokenizer, list({c[2] for c in cut} - marks.keys())))
         for w, x, y in cut:
             yield w, letters[x] + marks[y]
         yield from self._joined(self.tokenizer, [w for w in whole if MARK not in w])
@@ -88,19 +82,26 @@ class Encoder:
             if MARK in w:
                 yield w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _forget(self, new: list[str]) -> None:
+        for known, most in ((self.words, MOST_WORDS), (self.letters, MOST_LETTERS), (self.marks, MOST_WORDS)):
+            if len(known) > most:
+                known.clear()
+        for w in new:
+            if len(w) > LONGEST:
+                self.words.pop(w, None)
+                if m := PIECES.fullmatch(w):
+                    self.letters.pop(m[1].lower(), None)
+                    self.marks.pop(m[2], None)
+        self.letters[""] = self.marks[""] = b""
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if not ODD.isdisjoint(t) else t.split() for t in texts]
-        known, new = {}, []
-        for w in {w for words in cut for w in words}:
-            if (hit := self.words.get(w)) is None:
-                new.append(w)
-            else:
-                known[w] = hit
-        for w, ids in self._learn(new):
-            known[w] = ids
-            if len(w) <= 64:
-                self.words[w] = ids
-        return [b"".join([known[w] for w in words]) for words in cut]
+        cut = [[t] if any(c in t for c in ODD) else t.split() for t in texts]
+        known = self.words
+        new = list(set().union(*cut) - known.keys())
+        known.update(self._learn(new))
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        self._forget(new)
+        return out
 
 
 @lru_cache(maxsize=2)
