@@ -4,8 +4,10 @@ A document is its set of distinct word shingles. Equal sets are collapsed first.
 share a shingle among the first |set| - T + 1 of each under one order of all shingles; these are the short inverted
 lists, and grouping postings by shingle merges them. The order puts heavy shingles (counted over all documents) last,
 so common passages make no lists that grow with the corpus; any order gives the same result. Of every list, members
-first vote for one leader, verified links contract the sets into classes, and only then are the pairs of different
-classes on a list drawn up. Verification is DivideSkip over a block of candidates of one query: the shorter inverted
+first vote for one leader, the one with the least of its prefix to itself and so the fewest edits of its own; verified
+links contract the sets into classes. Of the lists on which several classes still meet, the merged counts of every query are
+held against the overlap of the two prefixes that its size and the other's ask for; the pairs that reach it are
+verified. Verification is DivideSkip over a block of candidates of one query: the shorter inverted
 lists are merged and counted, candidates that can still reach T are probed for in the longest lists by binary search.
 
 Defined cases: a null or empty text, or one of white space only, has an empty set, links with nothing and is its own
@@ -28,8 +30,8 @@ from .common import connected_components, read_table, stored, whole_text
 
 WORDS = 5
 #: Bytes of text and postings that are worked on at once.
-BATCH_BYTES, BUCKET_POSTINGS = 1_500_000, 1_000_000
-#: A shingle in more sets is heavy; the most heavy shingles that are broadcast (8 bytes each).
+BATCH_BYTES, BUCKET_POSTINGS, PART_POSTINGS = 1_500_000, 1_000_000, 1_000_000
+#: A shingle in more sets is heavy; the most heavy shingles that each of two counts broadcasts (8 bytes each).
 HEAVY, MOST_HEAVY = 50, 4_000_000
 #: Candidates that one block of a query holds, by their number and their shingles.
 BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
@@ -111,6 +113,21 @@ def extra(n: int) -> int:
     return n // 20
 
 
+def shared_prefix(n, m, percent: int) -> np.ndarray:
+    """How many shingles of both their prefixes two sets of n and m share at least if they link."""
+    n, m = np.asarray(n, np.int64), np.asarray(m, np.int64)
+    least = -(-(n + m) * percent // (100 + percent))
+    part = [np.minimum(x, x + (-x * percent // 100) + 1 + extra(x)) - (x - least) for x in (n, m)]
+    return np.maximum(1, np.minimum(*part))
+
+
+def _shared_prefix(percent: int):
+    """shared_prefix as a column of n and m."""
+    least = f"((n + m) * {percent} + {99 + percent}) div {100 + percent}"
+    part = [f"least({x}, {x} - ({x} * {percent} + 99) div 100 + 1 + {x} div 20) - ({x} - {least})" for x in ("n", "m")]
+    return F.expr(f"greatest(1, least({part[0]}, {part[1]}))")
+
+
 def _batched(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, list[bytes]]]:
     texts = batch.column(column).cast(pa.binary()).to_pylist()
     for part in slices([len(t) for t in texts], BATCH_BYTES):
@@ -201,50 +218,75 @@ def _postings(sets: DataFrame, heavy, percent: int, buckets: int, lacking: bool)
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """Of one bucket, the postings of shingles that several sets have, with each list's leader: its least (n, rec)."""
+    """Of one bucket, the postings of shingles that several sets have."""
     rows = _packed(table, POSTING)
-    rows = rows[np.lexsort((rows["rec"], rows["n"], rows["token"]))]
-    new = np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]])
-    group = np.cumsum(new) - 1
-    several = np.bincount(group)[group] > 1
-    leader = rows["rec"][np.flatnonzero(new)][group]
-    return pa.table({"bucket": pa.array(np.full(int(several.sum()), table["bucket"][0].as_py(), np.int32)), "token": rows["token"][several].astype(np.int64), "rec": rows["rec"][several], "n": rows["n"][several], "leader": leader[several]})
+    rows = rows[np.argsort(rows["token"], kind="stable")]
+    group = np.cumsum(np.concatenate([[0], rows["token"][1:] != rows["token"][:-1]]))
+    rows = rows[np.bincount(group)[group] > 1]
+    return pa.table({"bucket": pa.array(np.full(len(rows), table["bucket"][0].as_py(), np.int32)), "token": rows["token"].astype(np.int64), "rec": rows["rec"], "n": rows["n"]})
+
+
+def _votes(table: pa.Table) -> pa.Table:
+    """Of one bucket's lists, for each set and leader the lists where it votes for it: the least (alone, n, rec)."""
+    token, rec, n, alone = (table[c].to_numpy() for c in ("token", "rec", "n", "alone"))
+    order = np.lexsort((rec, n, alone, token))
+    token, rec, n = token[order], rec[order], n[order]
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    leader = rec[np.flatnonzero(new)][np.cumsum(new) - 1]
+    pairs = np.stack([rec, leader, n.astype(np.int64)], axis=1)[rec != leader]
+    pairs, votes = np.unique(pairs, axis=0, return_counts=True)
+    return pa.table({"rec": pairs[:, 0], "leader": pairs[:, 1], "n": pairs[:, 2].astype(np.int32), "votes": votes})
+
+
+def _several_classes(table: pa.Table) -> pa.Table:
+    """Of one bucket, the lists on which several classes meet."""
+    token, cls = table["token"].to_numpy(), table["cls"].to_numpy()
+    order = np.lexsort((cls, token))
+    token, cls = token[order], cls[order]
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(token)]]) - 1
+    return table.take(order[(cls[first] != cls[last])[group]])
 
 
 def _cross(percent: int):
+    kind = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("votes", pa.int32())])
+
     def run(table: pa.Table) -> pa.Table:
-        """Pairs of different classes whose sizes allow the overlap, with the size of the smaller and the lists they share."""
-        token, rec, n, cls = (table[c].to_numpy() for c in ("token", "rec", "n", "cls"))
-        order = np.lexsort((rec, n, token))
-        token, rec, n, cls = token[order], rec[order], n[order], cls[order]
-        recs, place = np.unique(rec, return_inverse=True)
-        size_of = np.zeros(len(recs), np.int64)
-        size_of[place] = n
-        cuts = [0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]
-        keys, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found: list[np.ndarray] = []
-        held = 0
-
-        def add(keys, votes):
-            new, at = np.unique(np.concatenate([keys, *found]), return_inverse=True)
-            weight = np.concatenate([votes, np.ones(sum(map(len, found)), np.int64)])
-            found.clear()
-            return new, np.bincount(at, weights=weight, minlength=len(new)).astype(np.int64)
-
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a < 2 or (cls[a:b] == cls[a]).all():
-                continue
-            sizes, places, classes = n[a:b], place[a:b], cls[a:b]
-            for i in range(b - a - 1):
-                j = i + 1 + np.flatnonzero((classes[i + 1 :] != classes[i]) & (sizes[i + 1 :] * percent <= 100 * sizes[i]))
-                if len(j):
-                    found.append(places[i] * len(recs) + places[j])
-                    held += len(j)
-                if held > 500_000:
-                    (keys, votes), held = add(keys, votes), 0
-        keys, votes = add(keys, votes)
-        q, c = keys // max(1, len(recs)), keys % max(1, len(recs))
-        return pa.table({"q": recs[q], "c": recs[c], "n": size_of[q], "votes": votes})
+        """Of one part of the lists, the pairs of different classes that can still reach the overlap of their prefixes.
+
+        q, c: the smaller and the larger set, n and m their sizes, votes the lists of this part that they share.
+        most is on how many lists of all parts a set stands; what stands outside this part is granted to the pair.
+        """
+        key, rec, n, cls, most = (table[c].to_numpy() for c in ("list", "rec", "n", "cls", "most"))
+        order = np.lexsort((rec, n))
+        key, rec, n, cls, most = key[order], rec[order], n[order], cls[order], most[order]
+        new = np.concatenate([[True], rec[1:] != rec[:-1]])
+        place, at = np.cumsum(new) - 1, np.flatnonzero(new)
+        recs, sizes, classes = rec[at], n[at].astype(np.int64), cls[at]
+        elsewhere = most[at] - np.bincount(place)
+        by_list = np.argsort(key, kind="stable")  # each list in the order of places
+        members = place[by_list]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key[by_list])) + 1, [len(key)]])
+        where = np.empty(len(key), np.int64)  # of each posting, its place among members
+        where[by_list] = np.arange(len(key))
+        end = cuts[np.searchsorted(cuts, where, side="right")]
+        largest = np.searchsorted(sizes, 100 * sizes // percent, side="right")
+        found: list[list[np.ndarray]] = [[], [], []]
+        bounds = [*at.tolist(), len(key)]
+        for x in range(len(recs)):
+            a, b = bounds[x], bounds[x + 1]
+            merged = np.concatenate([members[i + 1 : j] for i, j in zip(where[a:b].tolist(), end[a:b].tolist())])
+            merged = merged[merged < largest[x]]
+            merged = merged[classes[merged] != classes[x]]
+            if len(merged):
+                y, votes = np.unique(merged, return_counts=True)
+                can = votes + np.minimum(elsewhere[x], elsewhere[y]) >= shared_prefix(sizes[x], sizes[y], percent)
+                if can.any():
+                    for to, values in zip(found, (np.full(int(can.sum()), x), y[can], votes[can])):
+                        to.append(values)
+        x, y, votes = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+        return pa.table([recs[x], recs[y], sizes[x].astype(np.int32), sizes[y].astype(np.int32), votes.astype(np.int32)], schema=kind)
 
     return run
 
@@ -352,29 +394,44 @@ def join_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
     n_rows = rows.count()
     total = int(own.agg(F.sum(F.octet_length("low") / 8)).first()[0] or 0)
     buckets = max(12, -(-total // BUCKET_POSTINGS))
-    heavy = spark.sparkContext.broadcast(_heavy(own, total, buckets) if total else np.zeros(0, "<u8"))
+    known = _heavy(own, total, buckets) if total else np.zeros(0, "<u8")
+    heavy = spark.sparkContext.broadcast(known)
     short = stored(_postings(own, heavy, percent, buckets, True), "short")
-    postings = _postings(own, heavy, percent, buckets, False)
     if short.head(1):
-        postings = postings.unionByName(_postings(_whole_sets(docs, named_sets.join(short, "rec"), words), heavy, percent, buckets, False))
-    kind = "bucket int, token long, rec long, n int, leader long"
+        # what is common among the sets that heavy shingles fill is common in their other parts too
+        whole = stored(_whole_sets(docs, named_sets.join(short, "rec"), words), "short-sets")
+        heavy = spark.sparkContext.broadcast(np.union1d(known, _heavy(whole, int(whole.agg(F.sum("n")).first()[0]), buckets)))
+        more = stored(_postings(own, heavy, percent, buckets, True).join(short, "rec", "left_anti"), "short")
+        whole = whole.unionByName(_whole_sets(docs, named_sets.join(more, "rec"), words)) if more.head(1) else whole
+        postings = _postings(own, heavy, percent, buckets, False).unionByName(_postings(whole, heavy, percent, buckets, False))
+    else:
+        postings = _postings(own, heavy, percent, buckets, False)
+    kind = "bucket int, token long, rec long, n int"
     lists = stored(postings.groupBy("bucket").applyInArrow(_lists, kind), "lists")
-    enough = F.col("votes") > F.floor(F.col("n") / 20)  # more than extra(n)
 
     def links_of(pairs: DataFrame) -> DataFrame:
         members = pairs.select(F.explode(F.array("q", "c")).alias("rec")).distinct()
         sets = stored(_whole_sets(docs, named_sets.join(members, "rec", "left_semi"), words), "whole-sets")
         return stored(_verified(pairs.select("q", "c"), sets, percent), "links")
 
-    votes = lists.where("rec <> leader").groupBy("rec", "leader").agg(F.count("*").alias("votes"), F.min("n").alias("n"))
+    # the part, in 1000ths, of a set's prefix that stands on no list
+    prefix = f"least(n, n - (n * {percent} + 99) div 100 + 1 + n div 20)"
+    alone = lists.groupBy("rec").agg(F.count("*").alias("most"), F.first("n").alias("n")).select("rec", F.expr(f"cast(1000 - 1000 * most div {prefix} as int)").alias("alone"))
+    votes = lists.join(alone, "rec").groupBy("bucket").applyInArrow(_votes, "rec long, leader long, n int, votes long")
+    votes = votes.groupBy("rec", "leader").agg(F.sum("votes").alias("votes"), F.min("n").alias("n"))
     first = votes.groupBy("rec").agg(F.max(F.struct("votes", (-F.col("leader")).alias("least"), "n")).alias("best"))
     first = first.select((-F.col("best.least")).alias("q"), F.col("rec").alias("c"), "best.votes", "best.n")
     links = links_of(stored(first.where(F.col("votes") > F.col("n") / 25), "first-pairs"))
     classes = connected_components(links, "q", "c")
-    # of each list, the pairs that are still apart; a linked pair shares more than extra() lists
-    marked = lists.select("bucket", "token", "rec", "n").join(classes, F.col("rec") == F.col("node"), "left").select("bucket", "token", "rec", "n", F.coalesce("component", "rec").alias("cls"))
-    apart = marked.groupBy("bucket").applyInArrow(_cross(percent), "q long, c long, n long, votes long")
-    apart = stored(apart.groupBy("q", "c").agg(F.min("n").alias("n"), F.sum("votes").alias("votes")).where(enough), "cross-pairs")
+    # only lists of several classes can still link any; a linked pair shares more than extra() of them
+    cls = F.coalesce("component", "rec").alias("cls")
+    marked = lists.select("bucket", "token", "rec", "n").join(classes, F.col("rec") == F.col("node"), "left").select("bucket", "token", "rec", "n", cls)
+    mixed = stored(marked.groupBy("bucket").applyInArrow(_several_classes, "bucket int, token long, rec long, n int, cls long"), "mixed-lists")
+    most = mixed.groupBy("rec").agg(F.count("*").cast("int").alias("most"), F.first("n").alias("n")).where("most > n div 20").select("rec", "most")
+    meeting = stored(mixed.join(most, "rec").select(F.xxhash64("bucket", "token").alias("list"), "rec", "n", "cls", "most"), "meeting")
+    parts = max(1, -(-meeting.count() // PART_POSTINGS))
+    apart = meeting.withColumn("part", F.pmod("list", F.lit(parts))).groupBy("part").applyInArrow(_cross(percent), "q long, c long, n int, m int, votes int")
+    apart = stored(apart.groupBy("q", "c", "n", "m").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= _shared_prefix(percent)), "cross-pairs")
     more = links_of(apart)
     classes = connected_components(links.unionByName(more), "q", "c")
     named = reps.select("sig", "size", "any_id", "rec").join(classes, F.col("rec") == F.col("node"), "left").select("sig", "size", "any_id", "rec", F.coalesce("component", "rec").alias("cls"))
