@@ -87,6 +87,44 @@ def test_ngram_join(spark):
     assert [rows[i].n_shingles for i in range(8)] == [56, 56, 56, 56, 0, 0, 1, 1]
 
 
+def test_ngram_join_of_a_crowd(spark):
+    """Copies of one text with few to many edits, more than make a shingle heavy, against all pairs."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(160):
+        words = [f"w{j}" for j in range(int(rng.integers(100, 130)))]
+        for j in rng.choice(len(words), int(rng.integers(0, 7)), replace=False):
+            words[j] = f"e{i}x{j}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+    least = list(range(len(sets)))
+    for _ in sets:
+        now = [min(least[j] for j, b in enumerate(sets) if 100 * len(a & b) >= 80 * len(a | b)) for a in sets]
+        if now == least:
+            break
+        least = now
+    assert 1 < len(set(least)) < len(sets)
+    rows = ngram_join.join_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [c for _, c in sorted((r.doc_id, r.component_id) for r in rows)] == least
+
+
+def test_shared_prefix_is_a_lower_bound(spark):
+    rng = np.random.default_rng(4)
+    sizes = []
+    for _ in range(400):
+        b = int(rng.integers(1, 120))
+        order = rng.permutation(200)
+        y = order[:b]
+        x = np.concatenate([y[rng.random(b) < 0.95], order[150 : 150 + rng.integers(0, 1 + b // 10)]])
+        if len(x) and 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y)):
+            prefix = [np.sort(s)[: min(len(s), len(s) - ngram_join.needed(len(s), 80) + 1 + ngram_join.extra(len(s)))] for s in (x, y)]
+            sizes.append((len(x), b))
+            assert len(np.intersect1d(*prefix)) >= ngram_join.shared_prefix(len(x), b, 80)
+    assert len(sizes) > 100
+    rows = spark.createDataFrame(sizes, "n int, m int").withColumn("least", ngram_join._shared_prefix(80)).collect()
+    assert all(r.least == ngram_join.shared_prefix(r.n, r.m, 80) for r in rows)
+
+
 def test_divide_skip():
     rng = np.random.default_rng(1)
     for _ in range(200):
