@@ -8,7 +8,9 @@ suffix array decides all between, and covered runs are cut out while the unique
 an article or main element is wholly in between.
 
 A host's pages are dealt by hash into groups of about GROUP_PAGES, so that a host with a third of all pages is many
-tasks; a run has to recur within a group.
+tasks. A group bounds the suffix array only: the distinct pages of every run are summed over the groups of a host, by a
+64-bit hash of the run, and each group learns which of its rarer runs recur on enough pages of the host. That is done
+for hosts of several groups on which at least one page is open, that is, on which runs decide anything.
 
 Defined cases: null and empty html, and pages without text, give an empty string; a page without a host is its own
 host ''; unclosed and misnested tags close with their nearest open ancestor, and an unclosed comment, script or tag
@@ -17,6 +19,7 @@ runs to the end; repeated rows give a row each and count as one page (same page_
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -30,6 +33,8 @@ from .common import read_table, stored
 #: Words of a long run, and the distinct pages on which it has to stand.
 RUN_WORDS, RUN_PAGES = 8, 3
 GROUP_PAGES = 256
+#: Groups whose runs are summed in one task.
+BUCKET_GROUPS = 32
 #: A host with at least this share of all pages is split behind a broadcast of its name: there can be at most 1/share.
 LARGE_SHARE = 0.001
 
@@ -150,8 +155,33 @@ def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def covered(pages: list[int], words: list[list[str]], run_words: int = RUN_WORDS, run_pages: int = RUN_PAGES) -> list[np.ndarray]:
-    """For each stream of words, which of them lie in a run that stands on run_pages distinct pages. pages: of each stream."""
+def run_hashes(words: list[str], run_words: int, known: dict[str, int]) -> np.ndarray:
+    """The hash of the run that starts at each word; a run needs all its words. known: hashes of words, filled up."""
+    for w in words:
+        if w not in known:
+            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    each = np.array([known[w] for w in words], np.uint64)
+    n = max(0, len(words) - run_words + 1)
+    out, weight = np.zeros(n, np.uint64), 1
+    for j in range(run_words if n else 0):
+        out += each[j : j + n] * np.uint64(weight)
+        weight = weight * 0xD6E8FEB86659FD93 % (1 << 64)
+    return out.view(np.int64)
+
+
+def page_counts(pages: list[int], words: list[list[str]], run_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct run hashes of a group and on how many distinct pages of it each stands."""
+    known: dict[str, int] = {}
+    of_page: dict[int, list[np.ndarray]] = {}
+    for p, w in zip(pages, words):
+        of_page.setdefault(p, []).append(run_hashes(w, run_words, known))
+    once = [np.unique(np.concatenate(x)) for x in of_page.values()]
+    return np.unique(np.concatenate(once) if once else np.zeros(0, np.int64), return_counts=True)
+
+
+def covered(pages: list[int], words: list[list[str]], run_words: int = RUN_WORDS, run_pages: int = RUN_PAGES, common: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each stream of words, which of them lie in a run that stands on run_pages distinct pages. pages: of each stream.
+    common: hashes of further runs that do, with pages that are not among these."""
     place: dict[str, int] = {}
     parts, number = [], {p: i for i, p in enumerate(dict.fromkeys(pages))}
     for i, w in enumerate(words):
@@ -165,15 +195,26 @@ def covered(pages: list[int], words: list[list[str]], run_words: int = RUN_WORDS
     # suffixes that share their first run_words tokens are neighbours in the array; how many pages are they from?
     seen = np.unique(np.stack([rank[order], page[order]], 1), axis=0)
     on = np.bincount(seen[:, 0], minlength=int(rank.max()) + 1)
-    starts = np.flatnonzero(on[rank] >= run_pages)
+    often = on[rank] >= run_pages
+    ends = np.cumsum([n + 1 for n in sizes])
+    if common is not None and len(common):
+        known: dict[str, int] = {}
+        for e, n, w in zip(ends, sizes, words):
+            found = np.isin(run_hashes(w, run_words, known), common)
+            often[e - n - 1 : e - n - 1 + len(found)] |= found
+    starts = np.flatnonzero(often)
     marks = np.zeros(len(stream) + run_words + 1, np.int64)
     np.add.at(marks, starts, 1)
     np.add.at(marks, starts + run_words, -1)
     flag = np.cumsum(marks)[: len(stream)] > 0
-    ends = np.cumsum([n + 1 for n in sizes])
     return [flag[e - n - 1 : e - 1] for e, n in zip(ends, sizes)]
 
 
+def is_open(page: list[tuple[int, int]]) -> bool:
+    """Whether runs decide on a page, given the part of each block and its number of words."""
+    return bool(page) and not any(part == MAIN for part, _ in page)
+
+
 def extract(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_PAGES, group_pages: int = GROUP_PAGES) -> DataFrame:
     """page_id, url, text, n_chars."""
     kind = pa.list_(pa.struct([("part", pa.int8()), ("text", pa.string())]))
@@ -183,23 +224,61 @@ def extract(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_P
             rows = [[{"part": k, "text": t} for k, t in blocks(h or "")] for h in batch.column(3).to_pylist()]
             yield pa.record_batch([*batch.columns[:3], pa.array(rows, kind)], ["page_id", "url", "host", "blocks"])
 
+    def open_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if h not in seen and is_open([(k, t.count(" ") + 1) for k, t in blocks(text or "")]):
+                    seen.add(h)
+        yield pa.record_batch([pa.array(sorted(seen), pa.string())], ["host"])
+
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     counts = stored(pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")), "host-pages")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    large = F.col("n") >= max(group_pages + 1, int(total * LARGE_SHARE))
-    hot = F.broadcast(counts.where(large).select("host", F.ceil(F.col("n") / group_pages).cast("int").alias("groups")))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    counts = counts.withColumn("large", F.col("n") >= max(group_pages + 1, int((total or 0) * LARGE_SHARE)))
+    counts = counts.withColumn("groups", F.ceil(F.col("n") / group_pages).cast("int"))
+    hosts = F.broadcast(counts.where("large").select("host"))
     rows = pages.select("page_id", "url", host.alias("host"), "html")
     columns = "page_id long, url string, host string, blocks array<struct<part: tinyint, text: string>>"
-    # a large host is dealt by host and group, so none of its pages meet before; the others have few rows for a task
-    split = rows.join(hot.select("host"), "host").select(rows.columns).mapInArrow(cut, columns).join(hot, "host")
-    rest = rows.join(hot.select("host"), "host", "left_anti").select(rows.columns).mapInArrow(cut, columns)
-    rest = rest.join(counts.where(~large).select("host", F.ceil(F.col("n") / group_pages).cast("int").alias("groups")), "host")
-    dealt = split.unionByName(rest).withColumn("grp", F.pmod(F.xxhash64("page_id"), F.col("groups")).cast("int"))
 
-    def decide(table: pa.Table) -> pa.Table:
+    def deal(chosen: DataFrame) -> DataFrame:
+        """The pages of the chosen rows of counts, in groups."""
+        # a large host is dealt by host and group, so none of its pages meet before; the others have few rows for a task
+        hot = F.broadcast(chosen.where("large").select("host", "groups"))
+        split = rows.join(hot.select("host"), "host").select(rows.columns).mapInArrow(cut, columns).join(hot, "host")
+        rest = rows.join(hosts, "host", "left_anti").select(rows.columns).mapInArrow(cut, columns)
+        rest = rest.join(chosen.where(~F.col("large")).select("host", "groups"), "host")
+        return split.unionByName(rest).withColumn("grp", F.pmod(F.xxhash64("page_id"), F.col("groups")).cast("int"))
+
+    def streams(found: list[list[dict]]) -> list[list[str]]:
+        return [[w for b in page for w in b["text"].split(" ")] for page in found]
+
+    def group_runs(table: pa.Table) -> pa.Table:
+        runs, n = page_counts(table["page_id"].to_pylist(), streams(table["blocks"].to_pylist()), run_words)
+        n = np.minimum(n, run_pages).astype(np.int32)
+        buckets = -(-table["groups"][0].as_py() // BUCKET_GROUPS)
+        at = runs.view(np.uint64) % np.uint64(buckets)
+        order = np.argsort(at, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []
+        key = {k: [table[k][0].as_py()] * len(parts) for k in ("host", "grp")}
+        return pa.table({
+            "host": pa.array(key["host"], pa.string()), "bucket": pa.array([int(at[x[0]]) for x in parts], pa.int32()), "grp": pa.array(key["grp"], pa.int32()),
+            "runs": pa.array([runs[x] for x in parts], pa.list_(pa.int64())), "n": pa.array([n[x] for x in parts], pa.list_(pa.int32())),
+        })
+
+    def over_groups(table: pa.Table) -> pa.Table:
+        """The runs of each group that are too rare in it and common enough on the host."""
+        runs, n = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("runs", "n"))
+        sizes = [len(x) for x in table["runs"]]
+        _, at = np.unique(runs, return_inverse=True)
+        told = (np.bincount(at, n)[at] >= run_pages) & (n < run_pages)
+        ends = np.cumsum(sizes)
+        back = [runs[e - k : e][told[e - k : e]] for e, k in zip(ends, sizes)]
+        return pa.table({"host": table["host"], "grp": table["grp"], "runs": pa.array(back, pa.list_(pa.int64()))})
+
+    def decided(table: pa.Table, common: np.ndarray | None) -> pa.Table:
         ids, found = table["page_id"].to_pylist(), table["blocks"].to_pylist()
-        streams = [[w for b in page for w in b["text"].split(" ")] for page in found]
-        flags = covered(ids, streams, run_words, run_pages)
+        flags = covered(ids, streams(found), run_words, run_pages, common)
         texts = []
         for page, flag in zip(found, flags):
             has_main = any(b["part"] == MAIN for b in page)
@@ -220,7 +299,24 @@ def extract(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_P
             texts.append(" ".join(kept))
         return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
-    return dealt.select("host", "grp", "page_id", "url", "blocks").groupBy("host", "grp").applyInArrow(decide, "page_id long, url string, text string, n_chars long")
+    def decide(table: pa.Table) -> pa.Table:
+        return decided(table, None)
+
+    def decide_with(table: pa.Table, told: pa.Table) -> pa.Table:
+        return decided(table, told["runs"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if told.num_rows else None)
+
+    result = "page_id long, url string, text string, n_chars long"
+    by_group = deal(counts).select("host", "grp", "page_id", "url", "blocks").groupBy("host", "grp")
+    if (most or 0) <= group_pages:
+        return by_group.applyInArrow(decide, result)
+    opened = rows.select("host", "html").mapInArrow(open_of, "host string").distinct()
+    opened = stored(opened.join(counts.where("groups > 1"), "host").select(counts.columns), "open-hosts")
+    if not opened.head(1):
+        return by_group.applyInArrow(decide, result)
+    told = deal(opened).select("host", "grp", "groups", "page_id", "blocks").groupBy("host", "grp")
+    told = told.applyInArrow(group_runs, "host string, bucket int, grp int, runs array<long>, n array<int>")
+    told = told.groupBy("host", "bucket").applyInArrow(over_groups, "host string, grp int, runs array<long>").where(F.size("runs") > 0)
+    return by_group.cogroup(told.groupBy("host", "grp")).applyInArrow(decide_with, result)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

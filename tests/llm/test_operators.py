@@ -164,6 +164,20 @@ def test_html(spark):
     assert got == {i: f"Own {i} & bold end" for i in range(4)} | {8: "", 9: "a b"}
 
 
+def test_html_runs_are_counted_over_a_whole_host(spark):
+    """A passage on 3 of 60 pages, which 15 groups hold apart, goes as it does from one group; one on 2 pages stays."""
+    shared, rare = " ".join(f"s{i}" for i in range(12)), " ".join(f"r{i}" for i in range(12))
+    page = lambda i: "".join(f"<p>{t}</p>" for t in [f"own{i} text", *[shared] * (i % 20 == 0), *[rare] * (i in (5, 50))])
+    rows = [(i, f"http://a.b/{i}", page(i)) for i in range(60)] + [(5, "http://a.b/5", page(5)), (99, "http://c.d", f"<p>{shared}</p>")]
+    rows += [(100 + i, f"http://e.f/{i}", f"<article>x{i}</article><p>{shared}</p>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got, whole = (sorted(map(tuple, html_text.extract(pages, group_pages=n).collect())) for n in (4, 1000))
+    assert got == whole and len(got) == len(rows)
+    texts = {p: t for p, _, t, _ in got}
+    assert [texts[i] for i in (0, 20, 40, 1)] == ["own0 text", "own20 text", "own40 text", "own1 text"]
+    assert texts[5] == f"own5 text {rare}" and texts[99] == shared and texts[101] == "x1"
+
+
 def test_runs_equal_brute_force():
     rng = np.random.default_rng(3)
     words = [rng.choice(list("abcd"), 30).tolist() for _ in range(6)]
