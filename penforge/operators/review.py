@@ -37,10 +37,26 @@ def list_page(pages: DataFrame, part: str, cursor: int, size: int) -> DataFrame:
     return top.crossJoin(F.broadcast(total)).select("url", "place", "total_matches")
 
 
-def read_page(docs: DataFrame, start_line: int, most_lines: int, most_chars: int) -> DataFrame:
-    rows = text_lines(docs).where((F.col("ln") >= start_line) & (F.col("ln") < start_line + most_lines))
-    upto = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("ln"))
-    return rows.withColumn("upto", upto).where(F.col("upto") <= most_chars).select("doc_id", "ln", "line")
+def read_page(docs: DataFrame, start_line: int, most_lines: int, most_chars: int, start_char: int = 0) -> DataFrame:
+    """doc_id, ln, line, next_line, next_char: each document from a place on, line feeds between lines counted.
+
+    The line that crosses the budget is returned as far as it fits. next_line and next_char, the same on all rows of a
+    document, are the place to read on from; null at the document's end. A document whose first line is shorter than
+    start_char, or that has fewer lines than start_line, has no row.
+    """
+    lines = docs.select("doc_id", F.split("text", "\n", -1).alias("all")).withColumn("total", F.size("all"))
+    lines = lines.where((F.col("total") >= start_line) & (F.length(F.get("all", F.lit(start_line - 1))) >= start_char))
+    rows = lines.select("doc_id", "total", F.posexplode(F.slice("all", start_line, most_lines)).alias("i", "whole"))
+    rows = rows.select("doc_id", "total", (F.col("i") + start_line).alias("ln"), "whole", F.when(F.col("i") == 0, start_char).otherwise(0).alias("at"))
+    before = Window.partitionBy("doc_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
+    room = most_chars - F.coalesce(F.sum(F.length("whole") - F.col("at") + 1).over(before), F.lit(0))
+    rows = rows.withColumn("room", room.cast("int")).where("room > 0").withColumn("line", F.expr("substring(whole, at + 1, room)"))
+    rows = rows.withColumn("upto", F.col("at") + F.length("line"))
+    cut = F.col("upto") < F.length("whole")
+    next_line = F.when(cut, F.col("ln")).when(F.col("ln") < F.col("total"), F.col("ln") + 1)
+    last = F.max(F.struct("ln", next_line.alias("line"), F.when(cut, F.col("upto")).otherwise(0).alias("char"))).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("last", last)
+    return rows.select("doc_id", "ln", "line", F.col("last.line").alias("next_line"), F.when(F.col("last.line").isNotNull(), F.col("last.char")).alias("next_char"))
 
 
 def numbers_changed(before: Column, after: Column) -> Column:

@@ -206,6 +206,21 @@ c AS (SELECT *, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln) AS upt
 SELECT doc_id, CAST(ln AS INTEGER) AS ln, line FROM c WHERE upto <= 4000
 """)
 def workspace_read_page(spark, sf_dir):
+    # the SQL asks for lines that fit with their line feed; workspace_read_part has the rest and the cursor
+    rows = review.read_page(table(spark, sf_dir, "documents"), 2, 200, 4000)
+    upto = F.sum(F.length("line") + 1).over(Window.partitionBy("doc_id").orderBy("ln"))
+    return rows.withColumn("upto", upto).where("upto <= 4000").select("doc_id", "ln", "line")
+
+
+@query("workspace_read_part", """
+WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+l AS (SELECT doc_id, len(p) AS total, unnest(range(1, len(p) + 1)) AS ln, unnest(p) AS line FROM p),
+c AS (SELECT *, 4000 - coalesce(sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM l WHERE ln >= 2 AND ln < 202),
+t AS (SELECT *, ln = max(ln) OVER (PARTITION BY doc_id) AS is_last FROM c WHERE room > 0),
+n AS (SELECT doc_id, CASE WHEN len(line) > room THEN ln WHEN ln < total THEN ln + 1 END AS next_line, CASE WHEN len(line) > room THEN room WHEN ln < total THEN 0 END AS next_char FROM t WHERE is_last)
+SELECT doc_id, CAST(ln AS INTEGER) AS ln, substr(line, 1, CAST(room AS BIGINT)) AS line, CAST(next_line AS INTEGER) AS next_line, CAST(next_char AS INTEGER) AS next_char FROM t JOIN n USING (doc_id)
+""")
+def workspace_read_part(spark, sf_dir):
     return review.read_page(table(spark, sf_dir, "documents"), 2, 200, 4000)
 
 

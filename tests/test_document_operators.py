@@ -1,4 +1,6 @@
-from penforge.operators import blockxml, decisions, outline, report
+import random
+
+from penforge.operators import blockxml, decisions, outline, report, review
 
 
 def test_related_decisions_fold_in_order(spark):
@@ -44,3 +46,32 @@ def test_report_of_nothing(spark):
     assert report.exit_code(none, "candidate").first().exit_code == 0
     paths = spark.createDataFrame([("a/b.md",), ("a/.x/b.md",), ("./c.txt",), ("a/c.MD",), ("a/b.md",)], "path string")
     assert sorted(r.path for r in report.walked(paths, ("v",)).collect()) == ["./c.txt", "a/b.md"]
+
+
+def read(text, line, char, most_lines, most_chars):
+    """The rows and the cursor of one read, line by line."""
+    lines, out, used, cursor = text.split("\n"), [], 0, (None, None)
+    for i in range(line - 1, min(line - 1 + most_lines, len(lines))):
+        at = char if i == line - 1 else 0
+        room = most_chars - used - bool(out)
+        if room <= 0:
+            return out, (i + 1, at)
+        piece = lines[i][at : at + room]
+        used += len(piece) + bool(out)
+        out.append((i + 1, piece))
+        if at + len(piece) < len(lines[i]):
+            return out, (i + 1, at + len(piece))
+        cursor = (i + 2, 0) if i + 1 < len(lines) else (None, None)
+    return out, cursor
+
+
+def test_read_page_cuts_the_crossing_line_and_tells_where_to_go_on(spark):
+    rng = random.Random(5)
+    texts = ["x\n" + "y" * 30, "aaaa\nbbbbb", "aaaa\nbbbb\n", "", "\n\n"] + ["\n".join("ü😀ab"[: rng.randrange(5)] * rng.randrange(5) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for line, char, most_lines, most_chars in ((1, 0, 3, 10), (2, 0, 200, 10), (2, 3, 2, 7), (1, 1, 9, 1)):
+        got = {}
+        for r in review.read_page(docs, line, most_lines, most_chars, char).orderBy("doc_id", "ln").collect():
+            got.setdefault(r.doc_id, ([], (r.next_line, r.next_char)))[0].append((r.ln, r.line))
+        fits = {i: t for i, t in enumerate(texts) if line <= t.count("\n") + 1 and char <= len(t.split("\n")[line - 1])}
+        assert got == {i: read(t, line, char, most_lines, most_chars) for i, t in fits.items()}

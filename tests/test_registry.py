@@ -19,3 +19,9 @@ def test_equals_sql(spark, name):
     assert columns == sorted(want.columns)
     rows = sorted(map(repr, map(tuple, got.select(columns).collect())))
     assert rows and rows == sorted(map(repr, want.select(*columns).fetchall()))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["workspace_read_page", "workspace_read_part"])
+def test_reads_equal_sql(spark, name):
+    test_equals_sql(spark, name)
