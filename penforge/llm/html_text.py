@@ -3,9 +3,10 @@
 A page becomes blocks of words in page order. The blocks of a host's pages, side by side, are one token stream, sorted
 by suffix to the depth of a long run; runs that recur on several distinct pages are boilerplate. What the markup
 itself calls the article (article, main) is kept even where pages repeat it, since copies of an article are no
-boilerplate, and what it calls navigation, header, footer, aside, form, advert, notice or comment goes at once; the
-suffix array decides all between, and covered runs are cut out while the unique runs around them stay. A page without
-an article or main element is wholly in between.
+boilerplate, and what it calls navigation, header, footer, aside, form, advert, notice or comment goes at once, an
+article within an article or named as a comment with it. What is between goes where the article is the bulk of the page,
+at least half of the words that are left; elsewhere the suffix array decides on it, and covered runs are cut out while
+the unique runs around them stay. A page without an article or main element is wholly in between.
 
 A host's pages are dealt by hash into groups of about GROUP_PAGES, so that a host with a third of all pages is many
 tasks. A group bounds the suffix array only: the distinct pages of every run are summed over the groups of a host, by a
@@ -51,16 +52,20 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notice|alert|sidebar|side-bar|nav(?:igation|bar)?|menu|breadcrumbs?|footer|masthead|"
     r"comments?|disqus|respond|replies|related|share|sharing|social|subscribe|newsletter|signup|login|popup|modal|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Names of an article that is a reader's comment: whole names, since an article may say comments-open of itself.
+COMMENT = re.compile(r"(?:^|\s)(?:div-|user-|reader-)?(?:comments?|disqus|respond|repl(?:y|ies))(?:[_-](?:body|item|list|entry|content|thread|\d+))*(?:$|\s)", re.I)
 TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 MAIN, BETWEEN = 1, 0
 
 
-def is_dropped(name: str, attributes: str, in_main: bool) -> bool:
+def is_dropped(name: str, attributes: str, in_main: bool, in_article: bool) -> bool:
     if name in DROPPED or name == "header" and not in_main:
         return True
-    if attributes and name not in ("html", "body", "article", "main"):
+    if name == "article" and any(COMMENT.search(value.strip("\"'")) for key, value in ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id", "role")):
+        return True
+    if attributes and name not in ("html", "body", "main") and (name != "article" or in_article):
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -127,7 +132,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if name == "body":  # what came before is no part of it
             while stack and stack[-1][0] == "head":
                 pop()
-        dropped = dropped or is_dropped(name, m[4], in_main)
+        dropped = dropped or is_dropped(name, m[4], in_main, name == "article" and any(s[0] == name for s in stack))
         in_main = in_main or name in ("article", "main")
         stack.append((name, dropped, in_main))
         if name in RAW:
@@ -212,7 +217,7 @@ def covered(pages: list[int], words: list[list[str]], run_words: int = RUN_WORDS
 
 def is_open(page: list[tuple[int, int]]) -> bool:
     """Whether runs decide on a page, given the part of each block and its number of words."""
-    return bool(page) and not any(part == MAIN for part, _ in page)
+    return 2 * sum(n for part, n in page if part == MAIN) < sum(n for _, n in page)
 
 
 def extract(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_PAGES, group_pages: int = GROUP_PAGES) -> DataFrame:
@@ -281,7 +286,7 @@ def extract(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_P
         flags = covered(ids, streams(found), run_words, run_pages, common)
         texts = []
         for page, flag in zip(found, flags):
-            has_main = any(b["part"] == MAIN for b in page)
+            mixed = is_open([(b["part"], b["text"].count(" ") + 1) for b in page])
             at, kept = 0, []
             for b in page:
                 words = b["text"].split(" ")
@@ -289,7 +294,7 @@ def extract(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_P
                 at += len(words)
                 if b["part"] == MAIN:
                     kept += words
-                elif not has_main and not gone.all():
+                elif mixed and not gone.all():
                     # a run that only reaches into a block leaves it whole
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                     for a, z in zip(edges[::2], edges[1::2]):

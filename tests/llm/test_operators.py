@@ -178,6 +178,19 @@ def test_html_runs_are_counted_over_a_whole_host(spark):
     assert texts[5] == f"own5 text {rare}" and texts[99] == shared and texts[101] == "x1"
 
 
+def test_html_body_beside_a_small_article(spark):
+    """Unique text around an article that is not the bulk of its page stays; comments that are articles go."""
+    body, shared = "the body of page {0} stands in a block beside the teaser", "a line that every page of this host has in its frame"
+    pages = [f"<div>{body.format(i)}</div><article>teaser {i}</article><div>{shared}</div>" for i in range(4)]
+    long = " ".join(f"w{i}" for i in range(40))
+    pages += [f"<article class='post comments-open'>{long}<article class='reply'>r</article><article>part</article></article><div>frame</div>"]
+    pages += [f"<main><article class='post has-sidebar'>{long}</article><article class='comment' id=div-comment-5>c</article></main>", "<article class='comment-body'>only a comment</article>"]
+    docs = spark.createDataFrame([(i, "http://a.b/", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    for groups in (256, 2):
+        got = [t for _, t in sorted((r.page_id, r.text) for r in html_text.extract(docs, group_pages=groups).collect())]
+        assert got == [f"{body.format(i)} teaser {i}" for i in range(4)] + [f"{long} part", long, ""]
+
+
 def test_runs_equal_brute_force():
     rng = np.random.default_rng(3)
     words = [rng.choice(list("abcd"), 30).tolist() for _ in range(6)]
