@@ -85,7 +85,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
         till = np.searchsorted(starts, begins + sizes)
         rolled = np.zeros(len(hashes), np.uint64)
         weight = np.uint64(1)
-        for j in range(words):
+        for j in range(min(words, len(hashes))):
             rolled[: len(hashes) - j] += hashes[j:] * weight
             weight = weight * _Q
         rolled = _mix(rolled)

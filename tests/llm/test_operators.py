@@ -87,6 +87,13 @@ def test_ngram_join(spark):
     assert [rows[i].n_shingles for i in range(8)] == [56, 56, 56, 56, 0, 0, 1, 1]
 
 
+@pytest.mark.parametrize("text, n", [(b"a", 1), (b"a b", 1), (b"a b c", 1), (b"a b c d", 1), (b" \n", 0)])
+def test_shingles_of_one_short_document(text, n):
+    assert [len(x) for x in ngram_join.shingle_sets([text])] == [n]
+    together = ngram_join.shingle_sets([text, b"g h i j k l m n"])
+    assert together[0].tolist() == ngram_join.shingle_sets([text])[0].tolist()
+
+
 def test_ngram_join_of_a_crowd(spark):
     """Copies of one text with few to many edits, more than make a shingle heavy, against all pairs."""
     rng = np.random.default_rng(3)
