@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .bpe import slices
 from .common import connected_components, read_table, stored, whole_text
@@ -134,8 +134,14 @@ def _batched(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, list[b
         yield part, texts[part]
 
 
-def _digested(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, sig, low: the lowest shingles, a prefix by hash with room for heavy ones."""
+def _row_key() -> Column:
+    """What tells rows apart that have another doc_id or another text; never null."""
+    name = F.coalesce(F.concat(F.lit("0"), F.col("doc_id").cast("string")), F.lit("1"))
+    return F.unhex(F.md5(F.concat(name, F.lit(":"), whole_text()).cast("binary")))
+
+
+def _digested(docs: DataFrame, words: int, percent: int, keyed: bool = False) -> DataFrame:
+    """doc_id, n, sig, low: the lowest shingles, a prefix by hash with room for heavy ones; keyed: key too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,9 +152,12 @@ def _digested(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     p = len(s) - needed(len(s), percent) + 1
                     low.append(s[: p + max(32, len(s) // 10)].tobytes())
                 sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.record_batch([batch.column(0)[part], pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "n", "sig", "low"])
+                key = [batch.column(2)[part]] if keyed else []
+                yield pa.record_batch([batch.column(0)[part], pa.array([len(s) for s in sets], pa.int32()), pa.array(sig, pa.binary()), pa.array(low, pa.binary()), *key], names)
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, n int, sig binary, low binary")
+    key = [_row_key().alias("key")] if keyed else []
+    names = ["doc_id", "n", "sig", "low", *["key"] * keyed]
+    return docs.select("doc_id", whole_text().alias("text"), *key).mapInArrow(run, "doc_id long, n int, sig binary, low binary" + ", key binary" * keyed)
 
 
 def _dealt(parts: list[np.ndarray], key: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -382,8 +391,18 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 def join_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs. Linked: 100 * overlap >= percent * union."""
+    rows, by_sig, n_rows = _classes(docs, words, percent)
+    hot_size = max(2, int((n_rows or 0) * 0.001))  # at most 1000 sets are that common
+    hot, rest = F.broadcast(by_sig.where(F.col("size") >= hot_size)), by_sig.where(F.col("size") < hot_size)
+    filled, empty = rows.where("n > 0").select("doc_id", "n", "sig"), rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = filled.join(hot.select("sig", "component_id"), "sig").unionByName(filled.join(hot.select("sig"), "sig", "left_anti").join(rest.select("sig", "component_id"), "sig"))
+    return out.select("doc_id", "n", "component_id").unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def _classes(docs: DataFrame, words: int, percent: int, keyed: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """The digested rows, each set's sig, size, cls and component_id, and the number of rows."""
     spark = docs.sparkSession
-    rows = stored(_digested(docs, words, percent).withColumn("rec", F.monotonically_increasing_id()), "shingles")
+    rows = stored(_digested(docs, words, percent, keyed).withColumn("rec", F.monotonically_increasing_id()), "shingles")
     # one row stands for its set; the others are few next to all rows and are left out by their numbers
     first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rec"))
     reps = rows.groupBy("sig").agg(first_row.alias("best"), F.count("*").alias("size"), F.first("n").alias("n"))
@@ -437,18 +456,30 @@ def join_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Data
     named = reps.select("sig", "size", "any_id", "rec").join(classes, F.col("rec") == F.col("node"), "left").select("sig", "size", "any_id", "rec", F.coalesce("component", "rec").alias("cls"))
     named = stored(named, "named")
     least = named.groupBy("cls").agg(F.min("any_id").alias("component_id"))
-    by_sig = stored(named.join(least, "cls").select("sig", "size", "component_id"), "by-sig")
-    hot_size = max(2, int((n_rows or 0) * 0.001))  # at most 1000 sets are that common
-    hot, rest = F.broadcast(by_sig.where(F.col("size") >= hot_size)), by_sig.where(F.col("size") < hot_size)
-    filled, empty = rows.where("n > 0").select("doc_id", "n", "sig"), rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = filled.join(hot.select("sig", "component_id"), "sig").unionByName(filled.join(hot.select("sig"), "sig", "left_anti").join(rest.select("sig", "component_id"), "sig"))
-    return out.select("doc_id", "n", "component_id").unionByName(empty).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    by_sig = stored(named.join(least, "cls").select("sig", "size", "cls", "component_id"), "by-sig")
+    return rows, by_sig, n_rows
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id names its class; rows that share a doc_id stay or go together."""
-    go = stored(join_classes(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class, of those with the smallest doc_id, and every row of an empty set.
+
+    A row is known by its doc_id and its text, so a clean row stays beside a near copy that shares its doc_id, and rows
+    without an id go like others. Of rows that agree in both, one stays.
+    """
+    rows, by_sig, _ = _classes(docs, words, percent, True)
+    # one row for each set first: of a set that many rows share, few meet in a task
+    kept = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("best")
+    best = rows.where("n > 0").groupBy("sig").agg(kept).join(by_sig.select("sig", "cls"), "sig").groupBy("cls").agg(F.min("best").alias("best"))
+    best = stored(best.select(F.col("best.key").alias("key")), "class-rows")
+    times = rows.where("n > 0").groupBy("key").agg(F.count("*").alias("times")).join(best.withColumn("stays", F.lit(True)), "key", "left")
+    marked = stored(times.where("stays IS NULL OR times > 1").select("key", F.col("stays").isNotNull().alias("stays")), "near-copies")
+    own = docs.withColumn("row_key", _row_key())
+    out = own.join(marked, own["row_key"] == marked["key"], "left_anti").select(*docs.columns)
+    tied = marked.where("stays").select("key")
+    if not tied.head(1):
+        return out
+    first = own.join(tied, own["row_key"] == tied["key"], "left_semi").dropDuplicates(["row_key"])
+    return out.unionByName(first.select(*docs.columns))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,19 @@ def test_shingles_of_one_short_document(text, n):
     assert together[0].tolist() == ngram_join.shingle_sets([text])[0].tolist()
 
 
+def test_one_row_of_each_class_stays(spark):
+    text = lambda c, last="z": " ".join([*[f"{c}{i}" for i in range(59)], last])
+    rows = [(None, text("a")), (None, text("a", "y")), (None, text("a")), (1, text("b")), (1, text("b", "y")), (1, text("b")), (2, text("b", "x")), (2, text("c")), (3, text("c", "y")), (4, text("d")), (None, text("d", "y"))]
+    rows += [(5, ""), (5, ""), (None, None), (6, text("e")), (6, text("f"))]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, more int")
+    got = ngram_join.one_of_each(docs).collect()
+    assert len({r.more for r in got}) == len(got) and all((r.doc_id, r.text) == rows[r.more] for r in got)
+    classes = sorted((r.text or "")[:1] for r in got)
+    assert classes == ["", "", "", "a", "b", "c", "d", "e", "f"]
+    assert {(r.text[0], r.doc_id) for r in got if r.text} == {("a", None), ("b", 1), ("c", 2), ("d", 4), ("e", 6), ("f", 6)}
+    assert ngram_join.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_ngram_join_of_a_crowd(spark):
     """Copies of one text with few to many edits, more than make a shingle heavy, against all pairs."""
     rng = np.random.default_rng(3)
