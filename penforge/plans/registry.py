@@ -76,7 +76,7 @@ FROM ok GROUP BY ALL
 
 
 def _lint(profile: str, only: str | None, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.lint(zh_corpus(spark, sf_dir), profile, only, mask=False)
+    return lint.lint(zh_corpus(spark, sf_dir), profile, only)
 
 
 for _profile in rules.PROFILES:

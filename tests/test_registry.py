@@ -3,6 +3,7 @@ import os
 import duckdb
 import pytest
 
+from penforge.plans import registry
 from penforge.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -25,3 +26,11 @@ def test_equals_sql(spark, name):
 @pytest.mark.parametrize("name", ["workspace_read_page", "workspace_read_part"])
 def test_reads_equal_sql(spark, name):
     test_equals_sql(spark, name)
+
+
+def test_lint_queries_hide_code_and_comments(spark, monkeypatch):
+    text = "`可能` 和 <!-- 大概 --> 与\n```\n非常\n```\n或许"
+    docs = spark.createDataFrame([(1, "a.md", text)], "doc_id long, filename string, text string")
+    monkeypatch.setattr(registry, "zh_corpus", lambda *_: docs)
+    for name in ("lint_findings_general", "lint_rule_H002"):
+        assert [(r.ln, r.found) for r in QUERIES[name](spark, DATA).collect()] == [(5, "或许")]
