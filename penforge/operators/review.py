@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -77,9 +78,10 @@ def requests(events: DataFrame) -> DataFrame:
     return rows.agg(F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.count("*").alias("n_events"))
 
 
-def segment_bounds(text: str, core: int = 4000, context: int = 300) -> list[tuple[int, int, int, int]]:
-    """Half-open cores of at most `core` characters, cut at a blank line or else a line's end in their second half."""
-    out, at = [], 0
+def segment_bounds(text: str, core: int = 4000, context: int = 300, findings: Sequence[int] = (), most: int = 24) -> list[tuple[int, int, int, int]]:
+    """Half-open cores of at most `core` characters, cut at a blank line or else a line's end in their second half, and
+    before the finding that would be one more than `most`. findings: offsets."""
+    out, at, findings = [], 0, sorted(findings)
     while at < len(text):
         end = min(len(text), at + core)
         if end < len(text):
@@ -88,20 +90,24 @@ def segment_bounds(text: str, core: int = 4000, context: int = 300) -> list[tupl
                 if cut >= 0:
                     end = cut + len(mark)
                     break
+        over = bisect_left(findings, at) + most
+        if over < len(findings) and at < findings[over] < end:
+            end = findings[over]
         out.append((at, end, max(0, at - context), min(len(text), end + context)))
         at = end
     return out
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """doc_id, seg_no, start, end_, context_start, context_end."""
+    """doc_id, seg_no, start, end_, context_start, context_end. docs may have offsets, those of each document's findings."""
+    given = F.col("offsets").cast("array<int>") if "offsets" in docs.columns else F.lit(None).cast("array<int>")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, n, *b) for d, t in zip(batch.doc_id, batch.text) for n, b in enumerate(segment_bounds(t or ""))]
+            rows = [(d, n, *b) for d, t, o in zip(batch.doc_id, batch.text, batch.offsets) for n, b in enumerate(segment_bounds(t or "", findings=() if o is None else o))]
             yield pd.DataFrame(rows, columns=["doc_id", "seg_no", "start", "end_", "context_start", "context_end"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, seg_no int, start int, end_ int, context_start int, context_end int")
+    return docs.select("doc_id", "text", given.alias("offsets")).mapInPandas(run, "doc_id long, seg_no int, start int, end_ int, context_start int, context_end int")
 
 
 def accepted_rewrites(spans: DataFrame) -> DataFrame:

@@ -63,3 +63,13 @@ def test_segments_cover():
     parts = review.segment_bounds(text)
     assert parts[0][0] == 0 and parts[-1][1] == len(text)
     assert all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and all(b - a <= 4000 for a, b, *_ in parts)
+
+
+def test_segments_hold_no_more_than_24_findings(spark):
+    text, dense = "x" * 5000, [*range(30), 4500]
+    assert [b[:2] for b in review.segment_bounds(text, findings=dense)] == [(0, 24), (24, 4024), (4024, 5000)]
+    assert [b[:2] for b in review.segment_bounds(text, findings=[7] * 40)] == [(0, 7), (7, 4007), (4007, 5000)]
+    docs = spark.createDataFrame([(1, text, dense), (2, text, []), (3, text, None)], "doc_id long, text string, offsets array<int>")
+    got = {(r.doc_id, r.start, r.end_) for r in review.segments(docs).collect()}
+    assert got == {(1, 0, 24), (1, 24, 4024), (1, 4024, 5000), *((d, a, z) for d in (2, 3) for a, z in ((0, 4000), (4000, 5000)))}
+    assert len(review.segments(docs.select("doc_id", "text")).collect()) == 6
