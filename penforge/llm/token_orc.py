@@ -5,18 +5,19 @@ not ids. Each row keeps its part and its start within the part, so the starts ne
 lookup of a document prunes by the files' statistics and Bloom filters.
 
 Defined cases: a null text counts as empty and has only the end id; a null doc_id comes first; repeated rows each
-have their own place, ordered by text; empty input gives no rows; further columns are not read.
+have their own place, ordered by text; a text may be one long word; empty input gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -24,113 +25,146 @@ from .bpe import slices
 from .common import fresh_path, read_table, whole_text
 
 END_ID = 1
-#: Characters of text whose ids are held at once; a longer text makes a batch of its own.
-BATCH_CHARS = 4_000_000
-#: New words are encoded in joined texts of about so many words, with MARK, a word of one id, between them.
+#: Bytes of text whose ids are held at once; a longer text makes a batch of its own.
+BATCH_BYTES = 4_000_000
+#: New words are encoded in joined texts of about so many, where need be with MARK, a word of one id, between them.
 JOINED, MARK = 2_000, "\x02"
+#: Fixed value: how the vocabulary writes the end of a word.
+WORD_END = "</w>"
 #: A word of Latin-1 letters, then ASCII marks other than an apostrophe, is two pieces for the tokenizer's pattern.
-PIECES = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: White space of str.split that the tokenizer's pattern doesn't count as such.
-ODD = "\x1c\x1d\x1e\x1f"
-#: What is remembered is forgotten between batches once it is more words, or letter runs; longer ones never stay.
-MOST_WORDS, MOST_LETTERS, LONGEST = 300_000, 500_000, 64
+PIECES = r"\A(?P<letters>[a-zA-ZÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)\z"
+#: What is remembered is forgotten between batches once it is more pieces, or more ids.
+MOST_PIECES, MOST_IDS = 500_000, 8_000_000
 
+#: Ids are packed by their run lengths, which leaves a compressor little to gain.
 ORC_OPTIONS = {
-    "compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
+    "compression": "none", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20),
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """Ids of texts. What words are made of, runs of letters and of marks, is encoded once and remembered as a piece:
+    a range of one array of ids. Texts are put together by taking pieces by number."""
+
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        # For lower-case Latin-1 letters the normalizer and the pattern change nothing, so they are left out.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.end_id, self.tokenizer = end_id, Tokenizer.from_file(path)
+        # For lower-case Latin-1 letters the normalizer and the pattern change nothing, so they are left out; the bytes
+        # that stand for a letter beyond ASCII are put in beforehand.
         self.light = Tokenizer(self.tokenizer.model)
-        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.words: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {"": b""}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.light.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: to_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, (0xDF, *range(0xE0, 0xF7), *range(0xF8, 0x100)))}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-
-    def _joined(self, tokenizer, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """No token of this vocabulary crosses white space, so words are encoded together and cut at MARK."""
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.start, self.size = np.array([self.end_id], "<i4"), np.array([0, 0], np.int64), np.array([0, 1], np.int64)
+
+    def _remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size, self.ids = np.concatenate([self.size, sizes]), np.concatenate([self.ids, ids])
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Lower-case runs of letters; each is one word for the model, whose last id is known by its ending."""
+        if not words:
+            return
+        found = []
+        for at in range(0, len(words), JOINED):
+            joined = " ".join(words[at : at + JOINED])
+            for c in set(joined) & self.as_bytes.keys():
+                joined = joined.replace(c, self.as_bytes[c])
+            (coded,) = self.light.encode_batch_fast([joined], add_special_tokens=False)
+            found.append(np.array(coded.ids, "<i4"))
+        ids = np.concatenate(found)
+        last = np.flatnonzero(self.ends_word[ids])
+        assert len(last) == len(words), "a run of letters isn't one word"
+        self._remember(words, ids, np.diff(last, prepend=-1))
+
+    def _learn(self, words: list[str]) -> None:
+        """Any words: no token of this vocabulary crosses white space, so they are encoded together and cut at MARK."""
+        odd = [w for w in words if MARK in w]
+        words = [w for w in words if MARK not in w]
         for at in range(0, len(words), JOINED):
             some = words[at : at + JOINED]
-            ids = np.array(tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark).tolist()
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, "<i4")
+            cuts = np.flatnonzero(ids == self.mark)
             assert len(cuts) == len(some) - 1, "the mark came out of a word"
-            flat = ids.tobytes()
-            for w, a, b in zip(some, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)]):
-                yield w, flat[4 * a : 4 * b]
-
-    def _learn(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        cut, whole = [], []
-        for w in words:
-            if m := PIECES.fullmatch(w):
-                cut.append((w, m[1].lower(), m[2]))
-            else:
-                whole.append(w)
-        letters, marks = self.letters, self.marks
-        letters.update(self._joined(self.light, list({c[1] for c in cut} - letters.keys())))
-        marks.update(self._joined(self.tokenizer, list({c[2] for c in cut} - marks.keys())))
-        for w, x, y in cut:
-            yield w, letters[x] + marks[y]
-        yield from self._joined(self.tokenizer, [w for w in whole if MARK not in w])
-        for w in whole:
-            if MARK in w:
-                yield w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _forget(self, new: list[str]) -> None:
-        for known, most in ((self.words, MOST_WORDS), (self.letters, MOST_LETTERS), (self.marks, MOST_WORDS)):
-            if len(known) > most:
-                known.clear()
-        for w in new:
-            if len(w) > LONGEST:
-                self.words.pop(w, None)
-                if m := PIECES.fullmatch(w):
-                    self.letters.pop(m[1].lower(), None)
-                    self.marks.pop(m[2], None)
-        self.letters[""] = self.marks[""] = b""
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if any(c in t for c in ODD) else t.split() for t in texts]
-        known = self.words
-        new = list(set().union(*cut) - known.keys())
-        known.update(self._learn(new))
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        self._forget(new)
-        return out
+            self._remember(some, np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+        for w in odd:
+            ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<i4")
+            self._remember([w], ids, np.array([len(ids)]))
+
+    def _numbers(self, words: pa.StringArray, learn) -> np.ndarray:
+        """The piece of each word; 0 for a null."""
+        coded = words.dictionary_encode()
+        some, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        learn([w for w in some if w not in known])
+        numbers = np.array([*map(known.__getitem__, some), 0], np.int64)
+        return numbers[coded.indices.fill_null(len(some)).to_numpy()]
+
+    def encode(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of each text with the end id; texts holds no null."""
+        if len(self.known) > MOST_PIECES or len(self.ids) > MOST_IDS:
+            self._forget()
+        cut = pc.ascii_split_whitespace(texts)
+        coded = cut.values.dictionary_encode()
+        parts = pc.extract_regex(coded.dictionary, PIECES)
+        whole = pc.if_else(parts.is_null(), coded.dictionary, None)
+        first = self._numbers(pc.utf8_lower(pc.struct_field(parts, "letters")), self._learn_letters)
+        second = self._numbers(pc.coalesce(pc.struct_field(parts, "marks"), whole), self._learn)
+        # each word is two pieces, each text ends with piece 1
+        place, ends = coded.indices.to_numpy(), cut.offsets.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        at = 2 * np.arange(len(place)) + row
+        last = 2 * ends[1:] + np.arange(len(texts))
+        pieces = np.empty(2 * len(place) + len(texts), np.int64)
+        pieces[at], pieces[at + 1], pieces[last] = first[place], second[place], 1
+        sizes = self.size[pieces]
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.ids[np.repeat(self.start[pieces] - upto + sizes, sizes) + np.arange(total)]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto[last]]).astype(np.int32)), pa.array(ids))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, end_id: int) -> Encoder:
+    return Encoder(path, end_id)
+
+
+KIND = "doc_id long, ids array<int>, n_tokens int, part int, start_in_part long"
+NAMES = [c.split()[0] for c in KIND.split(", ")]
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """ORC files under out: doc_id, ids, part, start_in_part, in ascending doc_id order over the parts."""
+    """ORC files under out, with the columns of KIND, in ascending doc_id order over the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        own, part, start = encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for some in slices([len(t) for t in texts], BATCH_CHARS):
-                got = [x + end for x in own.encode(texts[some])]
-                ends = np.cumsum([0, *[len(x) // 4 for x in got]])
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(got), "<i4")))
-                yield pa.record_batch([batch.column(0)[some], ids, pa.array(np.full(len(got), part, np.int32)), pa.array(ends[:-1] + start)], ["doc_id", "ids", "part", "start_in_part"])
+            texts = batch.column(1)
+            for some in slices(pc.binary_length(texts).to_pylist(), BATCH_BYTES):
+                ids = own.encode(texts[some])
+                ends = ids.offsets.to_numpy().astype(np.int64)
+                sizes = np.diff(ends)
+                yield pa.record_batch([batch.column(0)[some], ids, pa.array(sizes.astype(np.int32)), pa.array(np.full(len(sizes), part, np.int32)), pa.array(start + ends[:-1])], NAMES)
                 start += int(ends[-1])
 
     dealt = docs.select("doc_id", whole_text().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(run, "doc_id long, ids array<int>, part int, start_in_part long").write.options(**ORC_OPTIONS).orc(out)
+    dealt.mapInArrow(run, KIND).write.options(**ORC_OPTIONS).orc(out)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, ids, part, start_in_part; filters on doc_id skip files, stripes and row groups."""
-    return spark.read.schema("doc_id long, ids array<int>, part int, start_in_part long").orc(path)
+    """The columns of KIND; filters on doc_id skip files, stripes and row groups."""
+    return spark.read.schema(KIND).orc(path)
 
 
 def token_index(tokens: DataFrame) -> DataFrame:
@@ -139,13 +173,13 @@ def token_index(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(3)
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4", copy=False)
-            crcs = [zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.record_batch([*batch.columns[:3], pa.array((ends[1:] - ends[:-1]).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
+            ends, flat = ids.offsets.to_numpy(), memoryview(ids.values.to_numpy().astype("<u4", copy=False)).cast("B")
+            crcs = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.record_batch([*batch.columns[:3], pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
     rows = tokens.select("doc_id", "part", "start_in_part", "ids").mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
-    # one row for each file
-    last = tokens.groupBy("part").agg(F.max(F.col("start_in_part") + F.size("ids")).alias("n"))
+    # one row for each file, from two narrow columns
+    last = tokens.groupBy("part").agg(F.max(F.col("start_in_part") + F.col("n_tokens")).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(last.select("part", before.alias("before")), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
