@@ -3,7 +3,11 @@
 A text is cut into words by the tokenizer's pattern. Words not met before go, together, into one recursive query:
 each round lays a word's tokens out as rows by position, joins neighbouring pairs to the merge table, and contracts
 the leftmost pair of least rank, until no pair is left. Ids are decoded by joining token rows to the vocabulary and
-aggregating them in order. A bounded cache keeps words met before; it changes no result.
+aggregating them in order. A bounded store keeps pieces of text met before; it changes no result.
+
+A long word is first cut where no token of the vocabulary could ever lie across, and what is left long is contracted
+at all places of its least pair in one round, up to the first one after which another pair would come before: the same
+merges in the same order. So a word of a megabyte takes few rounds.
 
 Defined cases: a null text counts as empty (no ids; the hashes of nothing); repeated rows, null doc_ids and further
 columns give a row each; long texts are handled whole, in batches bounded by characters, not rows.
@@ -19,18 +23,20 @@ from functools import lru_cache
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read_table, whole_text
+from .common import Pieces, read_table, released, whole_text
 
-#: Characters of text, or ids, that are worked on at once; a longer text makes a batch of its own.
-BATCH_CHARS, BATCH_IDS = 1_000_000, 300_000
-#: Entries of each of the two generations of a cache.
-CACHE = 150_000
-#: Words per recursive query.
-QUERY_WORDS = 10_000
+#: Bytes of text, or ids, that are worked on at once; a longer text makes a batch of its own.
+BATCH_BYTES, BATCH_IDS = 1_000_000, 300_000
+#: Bytes from which a word is long: it is cut apart, and what stays long is contracted at many places a round.
+LONG = 64
+#: Words, and their bytes, in one recursive query; a longer word has one of its own.
+QUERY_WORDS, QUERY_BYTES = 10_000, 400_000
 
+#: merges: pair, merged. The least id that a pair makes is its rank.
 ENCODE_SQL = """
 WITH RECURSIVE state(word, round, ids) AS (
   SELECT word, 0, ids FROM start
@@ -44,36 +50,41 @@ WITH RECURSIVE state(word, round, ids) AS (
 )
 SELECT word, arg_max(ids, round) AS ids FROM state GROUP BY word ORDER BY word
 """
+#: For long words; of each only the last round is kept. Of a run of overlapping places every other one counts; a place whose merge makes a lesser pair with
+#: what then stands beside it is the last one of its round.
+LONG_SQL = """
+WITH RECURSIVE state(word, ids) USING KEY (word) AS (
+  SELECT word, ids FROM start
+  UNION
+  (WITH tokens AS (SELECT word, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS pos FROM state),
+    pairs AS (SELECT word, pos, lag(id) OVER w AS w, id AS a, lead(id) OVER w AS b, lead(id, 2) OVER w AS z FROM tokens WINDOW w AS (PARTITION BY word ORDER BY pos)),
+    found AS (SELECT pairs.*, merged, min(merged) OVER (PARTITION BY word) AS least FROM pairs JOIN merges ON merges.pair = a::BIGINT * 4294967296 + b),
+    least AS (SELECT *, pos - row_number() OVER (PARTITION BY word ORDER BY pos) AS run FROM found WHERE merged = least),
+    apart AS (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS nth FROM least),
+    places AS (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY word ORDER BY pos) = pos - 2 THEN merged ELSE w END AS beside FROM apart WHERE nth % 2 = 1),
+    stops AS (
+      SELECT p.word, p.pos, p.merged, sum(CASE WHEN least(l.merged, r.merged) < p.merged THEN 1 ELSE 0 END) OVER (PARTITION BY p.word ORDER BY p.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n
+      FROM places AS p LEFT JOIN merges AS l ON l.pair = p.beside::BIGINT * 4294967296 + p.merged LEFT JOIN merges AS r ON r.pair = p.merged::BIGINT * 4294967296 + p.z),
+    now AS (SELECT word, pos, merged FROM stops WHERE coalesce(n, 0) = 0)
+  SELECT t.word, list(coalesce(here.merged, t.id) ORDER BY t.pos)
+  FROM tokens AS t LEFT JOIN now AS here ON here.word = t.word AND here.pos = t.pos LEFT JOIN now AS gone ON gone.word = t.word AND gone.pos = t.pos - 1
+  WHERE gone.pos IS NULL AND t.word IN (SELECT word FROM now) GROUP BY t.word)
+)
+SELECT word, ids FROM state ORDER BY word
+"""
 DECODE_SQL = """
 SELECT doc, list(piece ORDER BY pos) AS pieces FROM tokens JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc
 """
 
 
-class Cache:
-    """Two generations: the older one goes when the younger one is full."""
-
-    def __init__(self, size: int = CACHE):
-        self.size, self.young, self.old = size, {}, {}
-
-    def get(self, key):
-        hit = self.young.get(key)
-        if hit is None and (hit := self.old.get(key)) is not None:
-            self[key] = hit
-        return hit
-
-    def __setitem__(self, key, value):
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
 class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
-        self.by_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        self.words, self.chunks = Cache(), Cache()
+        self.by_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.names = pa.array([str(i) for i in range(max(self.ranks.values()) + 1)])
+        self.words, self.chunks = Pieces(), Pieces()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         pairs, merged = [], []
         for token, rank in self.ranks.items():
@@ -82,8 +93,12 @@ class Codec:
                 if a is not None and b is not None:
                     pairs.append(a << 32 | b)
                     merged.append(rank)
-        self._table("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int64())}))
+        self._table("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         self._table("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "piece": pa.array(self.ranks, pa.binary())}))
+        #: which two bytes are a token, and which three stand in one
+        self.two = np.zeros(1 << 16, bool)
+        self.two[[t[0] << 8 | t[1] for t in self.ranks if len(t) == 2]] = True
+        self.three = np.unique(np.array([t[i] << 16 | t[i + 1] << 8 | t[i + 2] for t in self.ranks for i in range(len(t) - 2)], np.int32))
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -97,66 +112,71 @@ class Codec:
         finally:
             self.db.unregister(name)
 
-    def _contract(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for at in range(0, len(words), QUERY_WORDS):
-            some = words[at : at + QUERY_WORDS]
-            ends = np.cumsum([0, *map(len, some)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.by_byte[np.frombuffer(b"".join(some), np.uint8)]))
-            got = self._query("start", pa.table({"word": pa.array(range(len(some)), pa.int32()), "ids": ids}), ENCODE_SQL)["ids"].combine_chunks()
-            ends = got.offsets.to_numpy()
-            flat = got.values.to_numpy().astype("<u4").tobytes()
-            out += [flat[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:])]
-        return out
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of each chunk of text, every word of it through the recursive query unless it is known or one token."""
-        cut = [[w.encode() for w in self.pattern.findall(c)] for c in chunks]
-        known: dict[bytes, bytes] = {}
-        for w in {w for words in cut for w in words}:
-            if (whole := self.ranks.get(w)) is not None:
-                known[w] = whole.to_bytes(4, "little")
-            elif (hit := self.words.get(w)) is not None:
-                known[w] = hit
-        new = sorted({w for words in cut for w in words if w not in known}, key=len)
-        for w, ids in zip(new, self._contract(new)):
-            known[w] = self.words[w] = ids
-        return {c: b"".join([known[w] for w in words]) for c, words in zip(chunks, cut)}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        # A space after something that isn't white space always starts a word, so texts are cut there first.
-        cut = []
-        for text in texts:
-            parts = text.split(" ")
-            if regex.search(r"^ |\s ", text):
-                parts = [text] if len(text) < 2000 else regex.split(r"(?<=\S) ", text)
-            cut.append(parts)
-        known: dict[str, bytes] = {}
-        asked: dict[str, None] = {}
-        for parts in cut:
-            asked.update(dict.fromkeys([parts[0]]))
-            asked.update(dict.fromkeys([" " + p for p in parts[1:]]))
-        new = []
-        for chunk in asked:
-            if (hit := self.chunks.get(chunk)) is None:
-                new.append(chunk)
-            else:
-                known[chunk] = hit
-        for chunk, ids in self._learn(new).items():
-            known[chunk] = ids
-            if len(chunk) <= 64:
-                self.chunks[chunk] = ids
-        return [b"".join([known[parts[0]], *[known[" " + p] for p in parts[1:]]]) for parts in cut]
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+    def _contract(self, words: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has)."""
+        ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.by_byte[np.frombuffer(b"".join(words), np.uint8)]))
+        got = self._query("start", pa.table({"word": pa.array(range(len(words)), pa.int32()), "ids": ids}), sql)["ids"].combine_chunks()
+        return got.values.to_numpy(), np.diff(got.offsets.to_numpy())
+
+    def _apart(self, word: bytes) -> list[bytes]:
+        """A word cut where no token can lie across: one that did would be those two bytes, or hold a third beside them."""
+        x = np.frombuffer(word, np.uint8).astype(np.int32)
+        inside = np.isin(x[:-2] << 16 | x[1:-1] << 8 | x[2:], self.three)
+        crossed = self.two[x[:-1] << 8 | x[1:]]
+        crossed[:-1] |= inside  # with the byte after them
+        crossed[1:] |= inside  # with the byte before them
+        cuts = [0, *(np.flatnonzero(~crossed) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """The ids of words; every one goes through the recursive query unless it is one token."""
+        whole = [w for w in words if w in self.ranks]
+        self.words.remember(whole, np.array([self.ranks[w] for w in whole], np.int32), np.ones(len(whole), np.int64))
+        rest = [w for w in words if w not in self.ranks]
+        self._query_words([w for w in rest if len(w) < LONG], ENCODE_SQL)
+        if long := {w: self._apart(w) for w in rest if len(w) >= LONG}:
+            new = [p for p in dict.fromkeys(p for parts in long.values() for p in parts) if p not in self.words.known]
+            self._learn_words([p for p in new if len(p) < LONG])
+            self._query_words([p for p in new if len(p) >= LONG], LONG_SQL)
+            for word, parts in long.items():
+                if len(parts) > 1:
+                    ids, sizes = self.words.take(self.words.numbers(parts))
+                    self.words.remember([word], ids, np.array([sizes.sum()]))
+
+    def _query_words(self, words: list[bytes], sql: str) -> None:
+        words = sorted(words, key=len)
+        for some in slices([max(len(w), QUERY_BYTES // QUERY_WORDS) for w in words], QUERY_BYTES):
+            self.words.remember(words[some], *self._contract(words[some], sql))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """The ids of chunks of text by their words."""
+        cut = [[w.encode() for w in self.pattern.findall(c.decode())] for c in chunks]
+        known = self.words.known
+        self._learn_words([w for w in dict.fromkeys(w for words in cut for w in words) if w not in known])
+        ids, sizes = self.words.take(self.words.numbers([w for words in cut for w in words]))
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, cut)])]
+        self.chunks.remember(chunks, ids, np.diff(upto))
+
+    def encode(self, texts: pa.StringArray) -> pa.ListArray:
+        """The ids of each text; texts holds no null."""
+        for store in (self.words, self.chunks):
+            store.forget()
+        chunks, ends = chunked(texts)
+        coded = chunks.dictionary_encode()
+        some = coded.dictionary.to_pylist()
+        self._learn([c for c in some if c not in self.chunks.known])
+        ids, sizes = self.chunks.take(self.chunks.numbers(some)[coded.indices.to_numpy()])
+        upto = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids))
+
+    def decode(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids."""
-        out = [b""] * len(ids)
-        lens = np.array([len(x) for x in ids])
+        out, ends = [b""] * len(ids), ids.offsets.to_numpy().astype(np.int64)
+        lens = np.diff(ends)
         if not lens.sum():
             return out
-        rows = pa.table({"doc": np.repeat(np.arange(len(ids)), lens), "pos": np.concatenate([np.arange(n) for n in lens]), "id": np.concatenate(ids).astype(np.int64)})
+        rows = pa.table({"doc": np.repeat(np.arange(len(ids)), lens), "pos": np.arange(ends[-1] - ends[0]), "id": ids.flatten().cast(pa.int64())})
         got = self._query("tokens", rows, DECODE_SQL)
         docs, pieces = got["doc"].to_pylist(), got["pieces"].combine_chunks()
         at, flat = pieces.offsets.to_numpy(), pieces.values
@@ -166,12 +186,44 @@ class Codec:
             out[doc] = bytes(data[starts[a] : starts[b]])
         return out
 
+    def hashes(self, ids: pa.ListArray) -> list[str]:
+        """SHA-256 of the decimal ids of each list, joined by commas."""
+        names = pa.ListArray.from_arrays(ids.offsets, self.names.take(ids.values))
+        return [hashlib.sha256(x).hexdigest() for x in pc.binary_join(names, ",").cast(pa.binary()).to_pylist()]
+
+
+def chunked(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """(chunks, before which of them each text ends): texts are cut before a space or line feed that follows something
+    else than white space, and after a line feed that stands alone; there a word always ends for a tokenizer's pattern."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    x = np.concatenate([np.full(3, 32, np.uint8), data, np.full(1, 32, np.uint8)])  # white space around
+    before, second, third = x[2:-2], x[1:-3], x[:-4]
+    # letters of two bytes are no white space, nor are those of three after E0 or from E4 on, nor those of four
+    wide = (before >= 0x80) & (((second >= 0xC3) & (second < 0xE0)) | ((second >= 0x80) & (second < 0xC0) & ((third == 0xE0) | (third >= 0xE4) | ((third >= 0x80) & (third < 0xC0)))))
+    solid = ((before > 32) & (before < 127)) | wide
+    cut = solid & ((data == 32) | (data == 10))
+    after = np.flatnonzero(cut & (data == 10)) + 1
+    after = after[(after < len(data)) & (x[after + 3] > 32) & (x[after + 3] < 127)]
+    cut[after] = True
+    inner = np.zeros(len(data) + 1, bool)
+    inner[: len(data)] = cut
+    inner[offsets] = True
+    starts = np.flatnonzero(inner)
+    chunks = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)])
+    return chunks, np.searchsorted(starts, offsets)
+
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def clear_state() -> None:
+    codec.cache_clear()
+
+
 def slices(sizes: list[int], most: int) -> Iterator[slice]:
     """Consecutive runs whose sizes sum to at most `most`, or single items."""
     start = total = 0
@@ -184,20 +236,20 @@ def slices(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def _byte_slices(texts: pa.StringArray) -> Iterator[slice]:
+    return slices(pc.binary_length(texts).to_pylist(), BATCH_BYTES)
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (array of int) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in slices([len(t) for t in texts], BATCH_CHARS):
-                got = own.encode(texts[part])
-                ends = np.cumsum([0, *[len(x) // 4 for x in got]], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
-                yield pa.record_batch([batch.column(0)[part], ids], ["doc_id", "ids"])
+            for part in _byte_slices(batch.column(1)):
+                yield pa.record_batch([batch.column(0)[part], own.encode(batch.column(1)[part])], ["doc_id", "ids"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(released(run, __name__), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -207,12 +259,10 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         for batch in batches:
             ids = batch.column(1)
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            for part in slices((ends[1:] - ends[:-1]).tolist(), BATCH_IDS):
-                got = own.decode([flat[a:b] for a, b in zip(ends[part], ends[1:][part])])
-                yield pa.record_batch([batch.column(0)[part], ids[part], pa.array(got, pa.binary())], ["doc_id", "ids", "bytes"])
+            for part in slices(pc.list_value_length(ids).to_pylist(), BATCH_IDS):
+                yield pa.record_batch([batch.column(0)[part], ids[part], pa.array(own.decode(ids[part]), pa.binary())], ["doc_id", "ids", "bytes"])
 
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, bytes binary")
+    return encoded.mapInArrow(released(run, __name__), "doc_id long, ids array<int>, bytes binary")
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -222,14 +272,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in slices([len(t) for t in texts], BATCH_CHARS):
-                ids = [np.frombuffer(x, "<u4") for x in own.encode(texts[part])]
-                named = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
-                read = [hashlib.sha256(x).hexdigest() for some in slices([len(x) for x in ids], BATCH_IDS) for x in own.decode(ids[some])]
-                yield pa.record_batch([batch.column(0)[part], pa.array([len(x) for x in ids], pa.int64()), pa.array(named), pa.array(read)], names)
-
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for part in _byte_slices(batch.column(1)):
+                ids = own.encode(batch.column(1)[part])
+                sizes = pc.list_value_length(ids)
+                read = [hashlib.sha256(x).hexdigest() for some in slices(sizes.to_pylist(), BATCH_IDS) for x in own.decode(ids[some])]
+                yield pa.record_batch([batch.column(0)[part], sizes.cast(pa.int64()), pa.array(own.hashes(ids)), pa.array(read)], names)
+
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(released(run, __name__), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read_table, whole_text
+from .common import read_table, released, take_over, whole_text
 
 #: Edits allowed for a character of the item, and the length from which any are.
 ERROR_RATE, MIN_CHARS = 0.05, 40
@@ -122,6 +122,10 @@ def matcher(items: tuple, rate: float) -> Matcher:
     return Matcher(items, rate)
 
 
+def clear_state() -> None:
+    matcher.cache_clear()
+
+
 def chunks(benchmark: DataFrame) -> Iterator[tuple]:
     """The items in runs of at most CHUNK_CHARS."""
     some, total = [], 0
@@ -148,7 +152,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE)
                 cols = list(zip(*rows)) if rows else [[]] * 4
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "distance", "end_"])
 
-        out = out.unionByName(docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, kind))
+        out = out.unionByName(docs.select("doc_id", whole_text().alias("text")).mapInArrow(released(run, __name__), kind))
     return out
 
 
@@ -156,6 +160,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     """The rows of docs that hold no item, with all their columns."""
     def leaks(items: tuple):
         def run(texts: pd.Series) -> pd.Series:
+            take_over(__name__)
             own = matcher(items, rate)
             return pd.Series([bool(own.matches(t)) for t in texts], dtype=bool)
 

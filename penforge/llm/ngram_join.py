@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .bpe import slices
-from .common import connected_components, read_table, stored, whole_text
+from .common import connected_components, read_table, released, stored, whole_text
 
 WORDS = 5
 #: Bytes of text and postings that are worked on at once.
-BATCH_BYTES, BUCKET_POSTINGS, PART_POSTINGS = 1_500_000, 1_000_000, 1_000_000
+BATCH_BYTES, BUCKET_POSTINGS, PART_POSTINGS = 1_000_000, 500_000, 500_000
 #: A shingle in more sets is heavy; the most heavy shingles that each of two counts broadcasts (8 bytes each).
 HEAVY, MOST_HEAVY = 50, 4_000_000
 #: Candidates that one block of a query holds, by their number and their shingles.
@@ -50,6 +50,10 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 POSTING = np.dtype([("token", "<u4"), ("rec", "<i8"), ("n", "<i4")])
 
 
+def clear_state() -> None:
+    _powers.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -157,7 +161,7 @@ def _digested(docs: DataFrame, words: int, percent: int, keyed: bool = False) ->
 
     key = [_row_key().alias("key")] if keyed else []
     names = ["doc_id", "n", "sig", "low", *["key"] * keyed]
-    return docs.select("doc_id", whole_text().alias("text"), *key).mapInArrow(run, "doc_id long, n int, sig binary, low binary" + ", key binary" * keyed)
+    return docs.select("doc_id", whole_text().alias("text"), *key).mapInArrow(released(run, __name__), "doc_id long, n int, sig binary, low binary" + ", key binary" * keyed)
 
 
 def _dealt(parts: list[np.ndarray], key: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -189,7 +193,7 @@ def _heavy(reps: DataFrame, total: int, buckets: int) -> np.ndarray:
         tokens, n = np.unique(_packed(table, "<u8"), return_counts=True)
         return pa.table({"tokens": [tokens[n > least].tobytes()]}, pa.schema([("tokens", pa.binary())]))
 
-    found = reps.select("low").mapInArrow(deal, "bucket int, data binary").groupBy("bucket").applyInArrow(count, "tokens binary")
+    found = reps.select("low").mapInArrow(released(deal, __name__), "bucket int, data binary").groupBy("bucket").applyInArrow(count, "tokens binary")
     return np.sort(np.frombuffer(b"".join(bytes(r.tokens) for r in found.toLocalIterator()), "<u8"))
 
 
@@ -223,7 +227,7 @@ def _postings(sets: DataFrame, heavy, percent: int, buckets: int, lacking: bool)
             elif kept:
                 yield from _dealt(kept, np.concatenate(keys), buckets)
 
-    return sets.select("rec", "n", "low").mapInArrow(run, "rec long" if lacking else "bucket int, data binary")
+    return sets.select("rec", "n", "low").mapInArrow(released(run, __name__), "rec long" if lacking else "bucket int, data binary")
 
 
 def _lists(table: pa.Table) -> pa.Table:
@@ -367,7 +371,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     heads = blocks.select("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("q").alias("rec"))
     rows = heads.unionByName(keyed.select("q", "block", F.lit(1).alias("kind"), F.col("c").alias("rec"))).join(sets.select("rec", "low"), "rec")
     rows = rows.select("q", "block", "kind", "rec", "low").repartition("q", "block").sortWithinPartitions("q", "block", "kind")
-    return rows.mapInArrow(run, "q long, c long")
+    return rows.mapInArrow(released(run, __name__), "q long, c long")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -386,7 +390,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     if wanted.count() <= WANTED:
         wanted = F.broadcast(wanted)
     rows = docs.select("doc_id", whole_text().alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("any_id")))
-    return rows.select("rec", "sig", "text").mapInArrow(run, "rec long, n int, low binary").dropDuplicates(["rec"])
+    return rows.select("rec", "sig", "text").mapInArrow(released(run, __name__), "rec long, n int, low binary").dropDuplicates(["rec"])
 
 
 def join_classes(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
@@ -415,11 +419,13 @@ def _classes(docs: DataFrame, words: int, percent: int, keyed: bool = False) ->
     buckets = max(12, -(-total // BUCKET_POSTINGS))
     known = _heavy(own, total, buckets) if total else np.zeros(0, "<u8")
     heavy = spark.sparkContext.broadcast(known)
+    broadcasts = [heavy]
     short = stored(_postings(own, heavy, percent, buckets, True), "short")
     if short.head(1):
         # what is common among the sets that heavy shingles fill is common in their other parts too
         whole = stored(_whole_sets(docs, named_sets.join(short, "rec"), words), "short-sets")
         heavy = spark.sparkContext.broadcast(np.union1d(known, _heavy(whole, int(whole.agg(F.sum("n")).first()[0]), buckets)))
+        broadcasts.append(heavy)
         more = stored(_postings(own, heavy, percent, buckets, True).join(short, "rec", "left_anti"), "short")
         whole = whole.unionByName(_whole_sets(docs, named_sets.join(more, "rec"), words)) if more.head(1) else whole
         postings = _postings(own, heavy, percent, buckets, False).unionByName(_postings(whole, heavy, percent, buckets, False))
@@ -427,6 +433,8 @@ def _classes(docs: DataFrame, words: int, percent: int, keyed: bool = False) ->
         postings = _postings(own, heavy, percent, buckets, False)
     kind = "bucket int, token long, rec long, n int"
     lists = stored(postings.groupBy("bucket").applyInArrow(_lists, kind), "lists")
+    for sent in broadcasts:
+        sent.destroy()  # what was made with them is written
 
     def links_of(pairs: DataFrame) -> DataFrame:
         members = pairs.select(F.explode(F.array("q", "c")).alias("rec")).distinct()

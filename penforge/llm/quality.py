@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_remainder, read_table, stored, whole_text
+from .common import crc_remainder, read_table, released, stored, whole_text
 
 #: Shares of the pooled covariance and, then, of the identity.
 TO_POOLED, TO_IDENTITY = 0.2, 0.02
@@ -103,7 +103,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             x = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(released(run), "doc_id long, x array<double>")
 
 
 def fit(points: DataFrame, labels: DataFrame) -> Model:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .bpe import slices
-from .common import fresh_path, read_table, whole_text
+from .common import Pieces, fresh_path, read_table, released, whole_text
 
 END_ID = 1
 #: Bytes of text whose ids are held at once; a longer text makes a batch of its own.
@@ -35,6 +35,8 @@ WORD_END = "</w>"
 PIECES = r"\A(?P<letters>[a-zA-ZÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)\z"
 #: What is remembered is forgotten between batches once it is more pieces, or more ids.
 MOST_PIECES, MOST_IDS = 500_000, 8_000_000
+#: The key of the piece that is the end id alone; no word is so.
+END = None
 
 #: Ids are packed by their run lengths, which leaves a compressor little to gain.
 ORC_OPTIONS = {
@@ -62,16 +64,7 @@ class Encoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.ids, self.start, self.size = np.array([self.end_id], "<i4"), np.array([0, 0], np.int64), np.array([0, 1], np.int64)
-
-    def _remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.size, self.ids = np.concatenate([self.size, sizes]), np.concatenate([self.ids, ids])
+        self.pieces = Pieces(MOST_PIECES, MOST_IDS)
 
     def _learn_letters(self, words: list[str]) -> None:
         """Lower-case runs of letters; each is one word for the model, whose last id is known by its ending."""
@@ -87,7 +80,7 @@ class Encoder:
         ids = np.concatenate(found)
         last = np.flatnonzero(self.ends_word[ids])
         assert len(last) == len(words), "a run of letters isn't one word"
-        self._remember(words, ids, np.diff(last, prepend=-1))
+        self.pieces.remember(words, ids, np.diff(last, prepend=-1))
 
     def _learn(self, words: list[str]) -> None:
         """Any words: no token of this vocabulary crosses white space, so they are encoded together and cut at MARK."""
@@ -98,40 +91,39 @@ class Encoder:
             ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, "<i4")
             cuts = np.flatnonzero(ids == self.mark)
             assert len(cuts) == len(some) - 1, "the mark came out of a word"
-            self._remember(some, np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+            self.pieces.remember(some, np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1)
         for w in odd:
             ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<i4")
-            self._remember([w], ids, np.array([len(ids)]))
+            self.pieces.remember([w], ids, np.array([len(ids)]))
 
     def _numbers(self, words: pa.StringArray, learn) -> np.ndarray:
         """The piece of each word; 0 for a null."""
         coded = words.dictionary_encode()
-        some, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
-        learn([w for w in some if w not in known])
-        numbers = np.array([*map(known.__getitem__, some), 0], np.int64)
+        some = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        learn([w for w in some if w not in self.pieces.known])
+        numbers = np.append(self.pieces.numbers(some), 0)
         return numbers[coded.indices.fill_null(len(some)).to_numpy()]
 
     def encode(self, texts: pa.StringArray) -> pa.ListArray:
         """The ids of each text with the end id; texts holds no null."""
-        if len(self.known) > MOST_PIECES or len(self.ids) > MOST_IDS:
-            self._forget()
+        self.pieces.forget()
+        if "" not in self.pieces.known:
+            self.pieces.remember(["", END], np.array([self.end_id]), np.array([0, 1]))
         cut = pc.ascii_split_whitespace(texts)
         coded = cut.values.dictionary_encode()
         parts = pc.extract_regex(coded.dictionary, PIECES)
         whole = pc.if_else(parts.is_null(), coded.dictionary, None)
         first = self._numbers(pc.utf8_lower(pc.struct_field(parts, "letters")), self._learn_letters)
         second = self._numbers(pc.coalesce(pc.struct_field(parts, "marks"), whole), self._learn)
-        # each word is two pieces, each text ends with piece 1
+        # each word is two pieces, each text ends with a third kind
         place, ends = coded.indices.to_numpy(), cut.offsets.to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(texts)), np.diff(ends))
         at = 2 * np.arange(len(place)) + row
         last = 2 * ends[1:] + np.arange(len(texts))
         pieces = np.empty(2 * len(place) + len(texts), np.int64)
-        pieces[at], pieces[at + 1], pieces[last] = first[place], second[place], 1
-        sizes = self.size[pieces]
+        pieces[at], pieces[at + 1], pieces[last] = first[place], second[place], self.pieces.known[END]
+        ids, sizes = self.pieces.take(pieces)
         upto = np.cumsum(sizes)
-        total = int(upto[-1]) if len(upto) else 0
-        ids = self.ids[np.repeat(self.start[pieces] - upto + sizes, sizes) + np.arange(total)]
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto[last]]).astype(np.int32)), pa.array(ids))
 
 
@@ -140,6 +132,10 @@ def encoder(path: str, end_id: int) -> Encoder:
     return Encoder(path, end_id)
 
 
+def clear_state() -> None:
+    encoder.cache_clear()
+
+
 KIND = "doc_id long, ids array<int>, n_tokens int, part int, start_in_part long"
 NAMES = [c.split()[0] for c in KIND.split(", ")]
 
@@ -159,7 +155,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = END_ID
                 start += int(ends[-1])
 
     dealt = docs.select("doc_id", whole_text().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(run, KIND).write.options(**ORC_OPTIONS).orc(out)
+    dealt.mapInArrow(released(run, __name__), KIND).write.options(**ORC_OPTIONS).orc(out)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -177,7 +173,7 @@ def token_index(tokens: DataFrame) -> DataFrame:
             crcs = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.record_batch([*batch.columns[:3], pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
-    rows = tokens.select("doc_id", "part", "start_in_part", "ids").mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
+    rows = tokens.select("doc_id", "part", "start_in_part", "ids").mapInArrow(released(run), "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
     # one row for each file, from two narrow columns
     last = tokens.groupBy("part").agg(F.max(F.col("start_in_part") + F.col("n_tokens")).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

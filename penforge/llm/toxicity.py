@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import Cache, slices
-from .common import crc_remainder, read_table, whole_text
+from .bpe import slices
+from .common import crc_remainder, read_table, released, whole_text
 
 WINDOW, STRIDE = 16, 8
 TRAIN_DOCS, TRAIN_WINDOWS = 3_000, 48
@@ -203,6 +203,24 @@ def train(bags: list[list[list[str]]], labels: np.ndarray, rounds: int = 10, lea
     return net
 
 
+class Cache:
+    """Two generations: the older one goes when the younger one is full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        hit = self.young.get(key)
+        if hit is None and (hit := self.old.get(key)) is not None:
+            self[key] = hit
+        return hit
+
+    def __setitem__(self, key, value):
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Scorer:
     """Scores whole texts; keeps the vectors of words met before."""
 
@@ -238,6 +256,10 @@ class Scorer:
 _nets: dict[str, Scorer] = {}
 
 
+def clear_state() -> None:
+    _nets.clear()
+
+
 def scores(docs: DataFrame, net: Network | None, otherwise: float = 0.0) -> DataFrame:
     """doc_id, score."""
     spark = docs.sparkSession
@@ -256,7 +278,7 @@ def scores(docs: DataFrame, net: Network | None, otherwise: float = 0.0) -> Data
             for part in slices([len(t) for t in texts], BATCH_CHARS):
                 yield pa.record_batch([batch.column(0)[part], pa.array(_nets[name].score(texts[part]), pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(released(run, __name__), "doc_id long, score double")
 
 
 def training_bags(docs: DataFrame, labels: DataFrame) -> tuple[list[list[list[str]]], np.ndarray]:
