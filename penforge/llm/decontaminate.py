@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import read_table, released, take_over, whole_text
 
 #: Edits allowed for a character of the item, and the length from which any are.
-ERROR_RATE, MIN_CHARS = 0.05, 40
+ERROR_RATE, MIN_CHARS = 0.05, 20
 #: Characters of items in one automaton; a larger benchmark makes several, each broadcast and run on its own.
 CHUNK_CHARS = 2_000_000
 

@@ -75,15 +75,16 @@ class DigestIndex:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns, whatever these are called."""
     decided = stored(DigestIndex(docs.sparkSession).ingest(docs), "dedup-decided")
     # a row stays if its key belongs to a kept row; only keys that several rows share need dropDuplicates
     stay = decided.groupBy("doc_id", "text_sha256", "n_code_points").agg(F.max("kept").alias("kept"), F.count("*").alias("n_same")).where("kept")
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_code_points").alias("_n"), F.col("n_same").alias("_same"))
-    keyed = docs.withColumns({"_row_sha": F.sha2(F.translate(whole_text(), WHITE, ""), 256), "_row_n": F.char_length(whole_text()).cast("long")})
-    out = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_sha") == F.col("_sha")) & (F.col("_row_n") == F.col("_n")))
-    once, more = out.where("_same = 1"), out.where("_same > 1").dropDuplicates(["_id", "_sha", "_n"])
-    return once.unionByName(more).select(*docs.columns)
+    stay = stay.select(F.struct("doc_id", "text_sha256", "n_code_points").alias("key"), F.col("n_same").alias("n_same"))
+    key = F.struct("doc_id", F.sha2(F.translate(whole_text(), WHITE, ""), 256).alias("text_sha256"), F.char_length(whole_text()).cast("long").alias("n_code_points"))
+    # the columns of docs go as one, so no name can clash; a null doc_id equals itself within a struct
+    out = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")).join(stay, "key")
+    once, more = out.where("n_same = 1"), out.where("n_same > 1").dropDuplicates(["key"])
+    return once.unionByName(more).select("own.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

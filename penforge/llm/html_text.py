@@ -6,7 +6,9 @@ itself calls the article (article, main) is kept even where pages repeat it, sin
 boilerplate, and what it calls navigation, header, footer, aside, form, advert, notice or comment goes at once, an
 article within an article or named as a comment with it. What is between goes where the article is the bulk of the page,
 at least half of the words that are left; elsewhere the suffix array decides on it, and covered runs are cut out while
-the unique runs around them stay. A page without an article or main element is wholly in between.
+the unique runs around them stay. A page without an article or main element is wholly in between. A page of
+COPY_WORDS or more that is covered but for a tenth is a copy of other pages and stays as it is. Inside an article class names
+rule out containers only, by whole names; a form around an article doesn't rule it out.
 
 A host's pages are dealt by hash into groups of about GROUP_PAGES, so that a host with a third of all pages is many
 tasks. A group bounds the suffix array only: the distinct pages of every run are summed over the groups of a host, by a
@@ -29,11 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read_table, stored
+from .common import read_table, released, stored
 
 #: Words of a long run, and the distinct pages on which it has to stand.
 RUN_WORDS, RUN_PAGES = 8, 3
 GROUP_PAGES = 256
+#: A page of so many words, with so large a share of them in recurring runs, is a copy rather than framed text.
+COPY_WORDS, COPY_SHARE = 50, 0.9
 #: Groups whose runs are summed in one task.
 BUCKET_GROUPS = 32
 #: A host with at least this share of all pages is split behind a broadcast of its name: there can be at most 1/share.
@@ -52,12 +56,22 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer fo
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notice|alert|sidebar|side-bar|nav(?:igation|bar)?|menu|breadcrumbs?|footer|masthead|"
     r"comments?|disqus|respond|replies|related|share|sharing|social|subscribe|newsletter|signup|login|popup|modal|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Elements of running text: inside an article no name rules them out.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption caption".split()) | INLINE
+#: Names that rule out a container inside an article: whole names, since a div of an article may say share-price of itself.
+NAMED_WITHIN = re.compile(
+    r"(?:^|\s)(?:[a-z0-9]+[_-])?(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|notice|sidebar|nav(?:igation|bar)?|menu|breadcrumbs?|footer|"
+    r"comments?|disqus|respond|replies|related|share|sharing|social|subscribe|newsletter|signup|login|popup|modal|widget|complementary|contentinfo)"
+    r"(?:[_-](?:body|item|list|entry|thread|box|bar|block|section|area|container|wrapper|wrap|links?|buttons?|icons?|widgets?|posts?|articles?|stories|form|inner|\d+))*(?:$|\s)", re.I)
+#: Elements that may stand in a head; any other ends it.
+IN_HEAD = frozenset("head title meta link style script base noscript template".split())
 #: Names of an article that is a reader's comment: whole names, since an article may say comments-open of itself.
 COMMENT = re.compile(r"(?:^|\s)(?:div-|user-|reader-)?(?:comments?|disqus|respond|repl(?:y|ies))(?:[_-](?:body|item|list|entry|content|thread|\d+))*(?:$|\s)", re.I)
 TOKEN = re.compile(r"<!--(.*?)(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 MAIN, BETWEEN = 1, 0
+FORM, GONE = 1, 2
 
 
 def is_dropped(name: str, attributes: str, in_main: bool, in_article: bool) -> bool:
@@ -66,11 +80,12 @@ def is_dropped(name: str, attributes: str, in_main: bool, in_article: bool) -> b
     if name == "article" and any(COMMENT.search(value.strip("\"'")) for key, value in ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id", "role")):
         return True
     if attributes and name not in ("html", "body", "main") and (name != "article" or in_article):
+        named = NAMED_WITHIN if in_main else NAMED
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return True
-            if key in ("class", "id", "role") and NAMED.search(value):
+            if key in ("class", "id", "role") and not (in_main and name in PROSE) and named.search(value):
                 return True
     return False
 
@@ -78,9 +93,9 @@ def is_dropped(name: str, attributes: str, in_main: bool, in_article: bool) -> b
 def blocks(html: str) -> list[tuple[int, str]]:
     """(MAIN or BETWEEN, text) of each block that the markup doesn't rule out, in page order."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, in main
+    stack: list[tuple[str, int, bool]] = []  # name, dropped (FORM: for a form alone), in main
     line: list[str] = []
-    dropped = in_main = False
+    dropped, in_main = 0, False
 
     def end_block():
         text = " ".join(entities.unescape("".join(line)).split())
@@ -91,7 +106,11 @@ def blocks(html: str) -> list[tuple[int, str]]:
     def pop():
         nonlocal dropped, in_main
         stack.pop()
-        _, dropped, in_main = stack[-1] if stack else ("", False, False)
+        _, dropped, in_main = stack[-1] if stack else ("", 0, False)
+
+    def end_head():
+        while stack and any(x[0] == "head" for x in stack):
+            pop()
 
     at = 0
     while at < len(html):
@@ -99,6 +118,8 @@ def blocks(html: str) -> list[tuple[int, str]]:
         at = m.end()
         name = m[3]
         if m[5] is not None:
+            if stack and stack[-1][0] == "head" and not m[5].isspace():
+                end_head()
             if not dropped:
                 line.append(m[5])
             continue
@@ -117,6 +138,8 @@ def blocks(html: str) -> list[tuple[int, str]]:
                 pop()
             continue
         if name in VOID or m[4].endswith("/") and name not in DROPPED:
+            if name not in IN_HEAD and stack and stack[-1][0] == "head":
+                end_head()
             continue
         if name in CLOSES_P:
             for i in range(len(stack) - 1, -1, -1):
@@ -129,10 +152,12 @@ def blocks(html: str) -> list[tuple[int, str]]:
         elif name in ("li", "td", "th", "tr", "dt", "dd", "option"):
             if stack and stack[-1][0] == name:
                 pop()
-        if name == "body":  # what came before is no part of it
-            while stack and stack[-1][0] == "head":
-                pop()
-        dropped = dropped or is_dropped(name, m[4], in_main, name == "article" and any(s[0] == name for s in stack))
+        if name not in IN_HEAD and stack and stack[-1][0] == "head":
+            end_head()
+        if dropped == FORM and name in ("article", "main"):  # a form around a page
+            dropped = 0
+        if dropped != GONE and is_dropped(name, m[4], in_main, name == "article" and any(s[0] == name for s in stack)):
+            dropped = FORM if name == "form" else GONE
         in_main = in_main or name in ("article", "main")
         stack.append((name, dropped, in_main))
         if name in RAW:
@@ -215,6 +240,12 @@ def covered(pages: list[int], words: list[list[str]], run_words: int = RUN_WORDS
     return [flag[e - n - 1 : e - 1] for e, n in zip(ends, sizes)]
 
 
+def stretches(flag: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))).tolist()
+    return list(zip(edges[::2], edges[1::2]))
+
+
 def is_open(page: list[tuple[int, int]]) -> bool:
     """Whether runs decide on a page, given the part of each block and its number of words."""
     return 2 * sum(n for part, n in page if part == MAIN) < sum(n for _, n in page)
@@ -250,8 +281,8 @@ def extract(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_P
         """The pages of the chosen rows of counts, in groups."""
         # a large host is dealt by host and group, so none of its pages meet before; the others have few rows for a task
         hot = F.broadcast(chosen.where("large").select("host", "groups"))
-        split = rows.join(hot.select("host"), "host").select(rows.columns).mapInArrow(cut, columns).join(hot, "host")
-        rest = rows.join(hosts, "host", "left_anti").select(rows.columns).mapInArrow(cut, columns)
+        split = rows.join(hot.select("host"), "host").select(rows.columns).mapInArrow(released(cut), columns).join(hot, "host")
+        rest = rows.join(hosts, "host", "left_anti").select(rows.columns).mapInArrow(released(cut), columns)
         rest = rest.join(chosen.where(~F.col("large")).select("host", "groups"), "host")
         return split.unionByName(rest).withColumn("grp", F.pmod(F.xxhash64("page_id"), F.col("groups")).cast("int"))
 
@@ -287,6 +318,8 @@ def extract(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_P
         texts = []
         for page, flag in zip(found, flags):
             mixed = is_open([(b["part"], b["text"].count(" ") + 1) for b in page])
+            if len(flag) >= COPY_WORDS and flag.mean() >= COPY_SHARE:
+                flag[:] = False
             at, kept = 0, []
             for b in page:
                 words = b["text"].split(" ")
@@ -296,8 +329,7 @@ def extract(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_P
                     kept += words
                 elif mixed and not gone.all():
                     # a run that only reaches into a block leaves it whole
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    for a, z in zip(edges[::2], edges[1::2]):
+                    for a, z in stretches(gone):
                         if z - a < run_words:
                             gone[a:z] = False
                     kept += [w for w, x in zip(words, gone) if not x]
@@ -314,7 +346,7 @@ def extract(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_P
     by_group = deal(counts).select("host", "grp", "page_id", "url", "blocks").groupBy("host", "grp")
     if (most or 0) <= group_pages:
         return by_group.applyInArrow(decide, result)
-    opened = rows.select("host", "html").mapInArrow(open_of, "host string").distinct()
+    opened = rows.select("host", "html").mapInArrow(released(open_of), "host string").distinct()
     opened = stored(opened.join(counts.where("groups > 1"), "host").select(counts.columns), "open-hosts")
     if not opened.head(1):
         return by_group.applyInArrow(decide, result)

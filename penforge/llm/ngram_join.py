@@ -481,13 +481,13 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataF
     best = stored(best.select(F.col("best.key").alias("key")), "class-rows")
     times = rows.where("n > 0").groupBy("key").agg(F.count("*").alias("times")).join(best.withColumn("stays", F.lit(True)), "key", "left")
     marked = stored(times.where("stays IS NULL OR times > 1").select("key", F.col("stays").isNotNull().alias("stays")), "near-copies")
-    own = docs.withColumn("row_key", _row_key())
-    out = own.join(marked, own["row_key"] == marked["key"], "left_anti").select(*docs.columns)
+    # the columns of docs go as one, so no name can clash
+    own = docs.select(_row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    out = own.join(marked, "key", "left_anti")
     tied = marked.where("stays").select("key")
-    if not tied.head(1):
-        return out
-    first = own.join(tied, own["row_key"] == tied["key"], "left_semi").dropDuplicates(["row_key"])
-    return out.unionByName(first.select(*docs.columns))
+    if tied.head(1):
+        out = out.unionByName(own.join(tied, "key", "left_semi").dropDuplicates(["key"]))
+    return out.select("own.*")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 parsers expand each anchor to its boundaries and validate. Every parser is linear in what it reads.
 
 The base kinds (email, ip, card, phone) equal the leftmost non-overlapping matches of their patterns. Further kinds:
-url (with user information, or mailto: and tel:), iban (after its cue, by its check digits), ssn (after its cue).
+url (with user information, or mailto: and tel:, an anchor within an earlier one's span being part of it), iban (after
+its cue, by its check digits), ssn (after its cue), key (the form of an access key id), secret (a value with a digit
+that a cue such as token or password is set to).
 
 Defined cases: a null text counts as empty: no spans, the hash of nothing; repeated rows and null doc_ids give a row
 each; long texts are read whole; further columns are not read.
@@ -18,11 +20,12 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table, whole_text
+from .common import read_table, released, whole_text
 
-KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn", "key", "secret")
 BASE = KINDS[:4]
-CUES = {"IBAN": "iban", "iban": "iban", "Iban": "iban", "SSN": "ssn", "ssn": "ssn", "Social Security": "ssn", "social security": "ssn"}
+CUES = {"IBAN": "iban", "iban": "iban", "Iban": "iban", "SSN": "ssn", "ssn": "ssn", "Social Security": "ssn", "social security": "ssn", "AKIA": "key", "ASIA": "key"}
+CUES |= {form(w): "secret" for w in ("token", "password", "passwd", "secret", "api_key", "api-key", "apikey", "access_key") for form in (str.lower, str.upper, str.capitalize)}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -30,9 +33,11 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 USER_URL = re.compile(r"://[^\s/@:]+:[^\s/@]+@[^\s/]+")
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+IN_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 AFTER_MAILTO = re.compile(r"[^\s<>\"']+")
 IBAN = re.compile(r"\W{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+KEY = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
+SECRET = re.compile(r"[\"']?\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_./+=-]{8,})")
 SSN = re.compile(r"\D{0,12}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])")
 
 
@@ -59,7 +64,7 @@ def iban_ok(text: str) -> bool:
 def spans_of(text: str, found: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(kind's place in KINDS, start, end) by start, then kind."""
     out: list[tuple[int, int, int]] = []
-    mail_end = ip_end = card_end = phone_end = 0
+    mail_end = ip_end = card_end = phone_end = to_end = secret_end = 0
     for last, (kind, size) in found.iter(text):
         at = last + 1 - size
         if kind == "0":
@@ -92,14 +97,33 @@ def spans_of(text: str, found: ahocorasick.Automaton) -> list[tuple[int, int, st
                 if 9 <= sum(map(str.isdigit, m[0])) <= 15:
                     out.append((at, 3, phone_end))
         elif kind == "://":
-            if (m := USER_URL.match(text, at)) and (scheme := SCHEME.search(text, max(0, at - 12), at)):
-                out.append((scheme.start(), 4, m.end()))
+            if m := USER_URL.match(text, at):
+                start = at
+                while start and text[start - 1] in IN_SCHEME:  # no scheme holds this anchor, so none is read twice
+                    start -= 1
+                while start < at and not text[start].isalpha():
+                    start += 1
+                if start < at:
+                    out.append((start, 4, m.end()))
         elif kind == "to":
-            if m := AFTER_MAILTO.match(text, last + 1):
-                out.append((at, 4, m.end()))
+            if at >= to_end and (m := AFTER_MAILTO.match(text, last + 1)):
+                to_end = m.end()
+                out.append((at, 4, to_end))
+        elif kind == "key":
+            if (not at or not text[at - 1].isalnum()) and (m := KEY.match(text, last + 1)):
+                out.append((at, 7, m.end()))
+        elif kind == "secret":
+            if at >= secret_end and (m := SECRET.match(text, last + 1)):
+                secret_end = m.end(1)  # a value that is refused isn't read again either
+                if any(map(str.isdigit, m[1])):
+                    out.append((m.start(1), 8, secret_end))
         elif kind == "iban":
-            if (m := IBAN.match(text, last + 1)) and iban_ok(m[1].replace(" ", "")):
-                out.append((m.start(1), 5, m.end(1)))
+            if m := IBAN.match(text, last + 1):
+                number = m[1]
+                while " " in number and not iban_ok(number.replace(" ", "")):
+                    number = number.rpartition(" ")[0]  # a word in capitals may follow
+                if len(number.replace(" ", "")) >= 15 and iban_ok(number.replace(" ", "")):
+                    out.append((m.start(1), 5, m.start(1) + len(number)))
         elif m := SSN.match(text, last + 1):
             out.append((m.start(1), 6, m.end(1)))
     return sorted(set(out))
@@ -116,7 +140,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
             spans = [[{"kind": KINDS[k], "start": a, "end_": b} for a, k, b in spans_of(t.as_py(), found)] for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id long, spans array<{row}>")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(released(run), f"doc_id long, spans array<{row}>")
 
 
 def summary(found: DataFrame) -> DataFrame:
