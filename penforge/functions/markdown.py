@@ -58,7 +58,7 @@ def hits(text: Column, pattern: Column) -> Column:
 
 _SPANS = [re.compile(p) for p in (r"`[^`\n]*`", r"!\[[^\]\n]*\]\([^)\n]*\)", r"<[^>\n]+>", r"~~[^~\n]+~~")]
 _LINK = re.compile(r"\[([^\]\n]*)\]\([^)\n]*\)")
-_FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 
 
 def _spaces(m: re.Match) -> str:
@@ -121,3 +121,92 @@ def masked(text: str) -> Column:
         return texts.map(lambda t: None if t is None else mask_text(t))
 
     return F.pandas_udf(run, "string")(text)
+
+
+_LIST = re.compile(r"[-*+]\s|\d+[.、)]\s")
+_DELIMITER = re.compile(r":?-{3,}:?")
+_CELL = re.compile(r"(?:`[^`]*(?:`|\Z)|\\.|[^|`])*", re.S)
+#: Roles that end a table which has no leading pipes.
+_NO_ROW = frozenset({"blank", "heading", "fence", "blockquote", "list_item"})
+
+
+def role_of(line: str) -> str:
+    """As line_role, of one line on its own."""
+    bare = line.strip()
+    for marks, role in ((("```", "~~~"), "fence"), ("#", "heading"), (">", "blockquote"), ("|", "table")):
+        if bare.startswith(marks):
+            return role
+    if not bare:
+        return "blank"
+    if _LIST.match(bare):
+        return "list_item"
+    return "fence" if line.startswith(("    ", "\t")) else "paragraph"
+
+
+def delimits(line: str) -> bool:
+    """As is_delimiter_row, of one line."""
+    bare = line.strip()
+    return "|" in bare and all(_DELIMITER.fullmatch(c.strip()) for c in bare.removeprefix("|").removesuffix("|").split("|"))
+
+
+def roles(lines: list[str]) -> list[str]:
+    """The role of each line. A row with a pipe above a delimiter row begins a table, which goes on while rows have
+    pipes and no role of their own; a delimiter row within it begins no other."""
+    out = [role_of(x) for x in lines]
+    delimiter = [delimits(x) for x in lines]
+    inside = False  # of a table that began with a header
+    for i, line in enumerate(lines):
+        if inside and "|" in line and out[i] not in _NO_ROW or inside == "header":
+            out[i], inside = "table", True
+            continue
+        inside = False
+        if i + 1 < len(lines) and out[i] in ("paragraph", "table") and "|" in line and not delimiter[i] and delimiter[i + 1]:
+            out[i], inside = "table", "header"
+    return out
+
+
+def table_cells(line: str) -> list[tuple[int, str]]:
+    """(column from 1, text) of each cell that isn't blank; pipes in code or after a backslash divide nothing."""
+    out, at = [], int(line.startswith("|"))
+    while at < len(line) and not delimits(line):
+        cell = _CELL.match(line, at)
+        if text := cell[0].strip():
+            out.append((at + len(cell[0]) - len(cell[0].lstrip()) + 1, text))
+        at = cell.end() + 1
+    return out
+
+
+LAYOUT = "array<struct<raw: string, masked: string, role: string, cells: array<struct<col: int, raw: string, masked: string>>>>"
+
+
+def layout_of(text: str) -> list[dict]:
+    raw, masked = text.split("\n"), mask_text(text).split("\n")
+    out = []
+    for line, shown, role in zip(raw, masked, roles(raw)):
+        cells = table_cells(line) if role == "table" and shown.strip() else []
+        out.append({"raw": line, "masked": shown, "role": role, "cells": [{"col": c, "raw": t, "masked": shown[c - 1 : c - 1 + len(t)]} for c, t in cells]})
+    return out
+
+
+def layout(text: str) -> Column:
+    """The lines of a document with their masks, roles in context and table cells: its one Python step."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else layout_of(t))
+
+    return F.pandas_udf(run, LAYOUT)(text)
+
+
+TERMINATORS = "。！？!?；;"
+
+
+def sentence_at(line: Column, col: Column) -> Column:
+    """The sentence of a line that holds a column, without white space around; the line where the column is beyond it."""
+    begun = F.regexp_extract(F.substring(line, F.lit(1), col - 1), rf"[^{TERMINATORS}]*\z", 0)
+    rest = F.regexp_extract(F.substring(line, col, F.length(line)), rf"\A[^{TERMINATORS}]*[{TERMINATORS}]?", 0)
+    return F.when(col > F.length(line), line).otherwise(strip(F.concat(begun, rest)))
+
+
+def newlines(text: Column) -> Column:
+    """CR LF and lone CR as LF, as text files are read; a byte order mark stays."""
+    return F.regexp_replace(text, "\r\n?", "\n")

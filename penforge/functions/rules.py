@@ -56,3 +56,61 @@ def rule_patterns(profile: str = "general", only: str | None = None) -> list[Pat
         if rule not in off and only in (None, rule)
         for j, pattern in enumerate(patterns)
     ]
+
+
+#: The message of each rule; {w} is what was found.
+MESSAGES = {
+    "C001": "套话「{w}」，删掉更直接",
+    "C002": "术语滥用「{w}」，换成大白话",
+    "C003": "套话「{w}」，删掉更直接",
+    "C004": "递进句式「{w}」——核对是否提供了实质新信息",
+    "H001": "模糊词「{w}」，表述要精确",
+    "H002": "模糊词「{w}」——论文/技术文档中如需保留学术审慎可忽略",
+    "H003": "「左右」歧义：时间/数量约数 or 空间方位？",
+    "M001": "过程性表述「{w}」——核对成稿是否夹带讨论或纠偏历史",
+    "M002": "上下文依赖表述「{w}」——核对顺序、旧状态或比较基线是否完整",
+    "E001": "空洞强调「{w}」，删除或换成具体描述",
+    "R001": "「{w}」冗余——动词直接说即可（进行+分析 → 分析）",
+    "R002": "「是否能够」→「能否」",
+    "D001": "「{w}」连续重复",
+    "S001": "句子过长（{len}字 > {max}），建议拆分",
+    "A900": "SKILL.md 主文件过长（{len} 行 > {max}）——细节应拆到 references/ 子文件，主文件只留触发条件/快速上手",
+    "DOC001": "空标题：删除该标题或补齐标题文本",
+    "DOC002": "标题编号可能断层：前一为「{prev}」，当前为「{curr}」，请核对是否缺章",
+}
+#: What to do about a finding, in this engine's own words.
+HINTS = {
+    "C001": "删去套话后语义不变即可改写；引述除外。", "C002": "有实际所指的行业术语保留，空话改成大白话。", "C003": "前后句不靠它也连贯时删去。",
+    "C004": "有实质新信息则保留，只是重复评价则改写。", "H001": "能查证的改成确定表述，查不到的询问作者。", "H002": "风险提示和学术审慎可以保留，事实断言需要核实。",
+    "H003": "约数给出精确值，方位保留。", "M001": "终稿只写当前结论；审计和迁移记录可以保留。", "M002": "步骤或比较基线不全时补齐，完整则保留。",
+    "E001": "换成具体程度或例证，或者删去。", "R001": "直接使用动词。", "R002": "缩短为能否。", "D001": "多为笔误，去掉一个；专有名词除外。",
+    "S001": "在并列、转折或因果处拆句。", "A900": "把细节移到子文件。", "DOC001": "补上标题或删去这一行。", "DOC002": "核对是否缺少一节，不要自动改号。",
+}
+#: Lines from which A900 speaks.
+MOST_LINES = 300
+#: The place of each rule among findings of one line and column.
+ORDER = {rule: n for n, rule in enumerate(["DOC001", "DOC002", *[r[0] for r in RULES], "S001", "A900"])}
+
+
+def by_id(rule_id: str) -> dict | None:
+    """What is known of a rule, or None."""
+    for rule, category, given, semantic, patterns, guard in RULES:
+        if rule == rule_id:
+            return {"id": rule, "category": category, "severity": given, "semantic": semantic, "patterns": patterns, "guard": guard, "message": MESSAGES[rule], "review_hint": HINTS[rule]}
+    for rule, category, given in STRUCTURAL:
+        if rule == rule_id:
+            return {"id": rule, "category": category, "severity": given, "semantic": False, "patterns": [], "guard": None, "message": MESSAGES[rule], "review_hint": HINTS[rule]}
+    return None
+
+
+def longest(profile: str) -> int:
+    return PROFILES.get(profile, PROFILES["general"])[2]
+
+
+RULE_KIND = "rule_id string, category string, severity string, semantic boolean, patterns array<string>, guard string, message string, review_hint string"
+
+
+def rule_frame(spark):
+    """The rules as a table; a user's rules are rows of the same kind, united with it."""
+    rows = [tuple(by_id(r)[k] for k in ("id", "category", "severity", "semantic", "patterns", "guard", "message", "review_hint")) for r in ORDER]
+    return spark.createDataFrame(rows, RULE_KIND)

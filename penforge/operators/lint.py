@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import rules
-from ..functions.markdown import heading_level, heading_title, hits, line_role, masked, strip
+from ..functions.markdown import TERMINATORS, heading_level, heading_title, hits, layout, line_role, masked, sentence_at, strip
 
 PROSE = ("paragraph", "list_item", "blockquote")
 
@@ -40,7 +40,8 @@ def pattern_findings(prose: DataFrame, patterns: list[rules.Pattern]) -> DataFra
 
 def headings(prose: DataFrame) -> DataFrame:
     """doc_id, ln, level, title, raw, parent: the line of the nearest earlier heading of a smaller level (0: none)."""
-    found = prose.where("role = 'heading'").withColumns({"level": heading_level(F.col("raw")), "title": heading_title(F.col("raw"))}).where("level IS NOT NULL")
+    # a line that the document's mask hides wholly (code, front matter, a comment) is no heading
+    found = prose.where("role = 'heading'").where(strip(F.col("masked")) != "").withColumns({"level": heading_level(F.col("raw")), "title": heading_title(F.col("raw"))}).where("level IS NOT NULL")
     before = Window.partitionBy("doc_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     last = {f"l{i}": F.coalesce(F.max(F.when(F.col("level") == i, F.col("ln"))).over(before), F.lit(0)) for i in range(1, 7)}
     parent = F.lit(0)
@@ -55,9 +56,14 @@ def heading_gaps(prose: DataFrame) -> DataFrame:
     rows = headings(prose).where("title <> ''").withColumn("number", number)
     siblings = Window.partitionBy("doc_id", "parent", "level").orderBy("ln")
     rows = rows.withColumn("prev", F.lag("number").over(siblings)).where("number <> '' AND prev <> ''")
-    rows = rows.withColumns({"a": F.split("prev", r"\."), "b": F.split("number", r"\.")})
+    bare = lambda c: F.transform(F.split(c, r"\\."), lambda x: F.regexp_replace(x, r"\A0+(?=.)", ""))
+    rows = rows.withColumns({"a": bare("prev"), "b": bare("number")})
     same = (F.size("a") == F.size("b")) & (F.slice("a", 1, F.size("a") - 1) == F.slice("b", 1, F.size("b") - 1))
-    return rows.where(same & (F.element_at("b", -1).cast("decimal(38,0)") > F.element_at("a", -1).cast("decimal(38,0)") + 1))
+    x, y = F.element_at("a", -1), F.element_at("b", -1)
+    # numbers of more digits than a decimal has are told apart by length and text; then any greater one is a gap
+    greater = (F.length(y) > F.length(x)) | ((F.length(y) == F.length(x)) & (y > x))
+    gap = F.coalesce(F.try_subtract(y.try_cast("decimal(38,0)"), x.try_cast("decimal(38,0)")) > 1, greater)
+    return rows.where(same & gap)
 
 
 def paragraphs(prose: DataFrame) -> DataFrame:
@@ -72,10 +78,126 @@ def long_sentences(prose: DataFrame, most: int) -> DataFrame:
     """Sentences of paragraphs that are longer than `most` and mostly Chinese."""
     rows = paragraphs(prose).select("doc_id", "first_ln", F.explode(F.split("text", "(?<=[。！？!?；;])", -1)).alias("sentence"))
     bare = F.regexp_replace("sentence", rf"(?U)[*_`\s\x1c-\x1f]", "")
-    share = F.length(F.regexp_replace("sentence", "[^一-鿿]", "")) / F.length("sentence")
+    share = F.try_divide(F.length(F.regexp_replace("sentence", "[^一-鿿]", "")), F.length("sentence"))
     return rows.withColumn("n", F.length(bare)).where((F.col("n") > most) & (share >= 0.3))
 
 
 def lint(docs: DataFrame, profile: str = "general", only: str | None = None, mask: bool = True) -> DataFrame:
     """Findings of the pattern rules under a profile: doc_id, filename, ln, col, rule_id, category, severity, found."""
     return pattern_findings(lines(docs, mask), rules.rule_patterns(profile, only))
+
+
+# --- the whole scan: patterns on prose and in table cells, long sentences, headings, large files ---------------------
+
+
+def laid_out(docs: DataFrame) -> DataFrame:
+    """doc_id, filename, ln, raw, masked, role, cells, in context; one Python step, no shuffle."""
+    rows = docs.select("doc_id", "filename", F.posexplode(layout("text")).alias("i", "line"))
+    return rows.select("doc_id", "filename", (F.col("i") + 1).alias("ln"), "line.*")
+
+
+def units(rows: DataFrame) -> DataFrame:
+    """What patterns are run on: prose lines and table cells. doc_id, filename, ln, raw, at (what stands before the
+    text in its line), masked, own (the text as written)."""
+    prose = rows.where(F.col("role").isin(*PROSE)).select("doc_id", "filename", "ln", "raw", F.lit(0).alias("at"), "masked", F.col("raw").alias("own"))
+    cells = rows.where("role = 'table'").select("doc_id", "filename", "ln", "raw", F.explode("cells").alias("c"))
+    return prose.unionByName(cells.select("doc_id", "filename", "ln", "raw", (F.col("c.col") - 1).alias("at"), "c.masked", F.col("c.raw").alias("own")))
+
+
+def _prefilter(patterns: list[rules.Pattern]) -> str:
+    """One expression for all patterns; a back-reference is by name there, since groups of others come before it."""
+    return "|".join("(?:" + (r"(?<twice>[一-鿿]{2,8})\k<twice>" if p.rule_id == "D001" else p.pattern) + ")" for p in patterns)
+
+
+def pattern_hits(given: DataFrame, patterns: list[rules.Pattern]) -> DataFrame:
+    """Findings of the pattern rules in units. One constant expression finds the texts that hold any pattern; only
+    those meet the pack, and only hits are shuffled."""
+    pack = F.array(*[
+        F.struct(*[F.lit(v).alias(k) for k, v in p._asdict().items() if k != "guard"], F.lit(p.guard).cast("string").alias("guard"), F.lit(not set(p.pattern) & set("([\\")).alias("plain"))
+        for p in patterns
+    ])
+    text = F.col("masked")
+    held = F.filter(pack, lambda p: F.when(p["plain"], F.contains(text, p["pattern"])).otherwise(F.rlike(text, p["pattern"])))
+    rows = given.where(text.rlike(_prefilter(patterns))).withColumn("p", F.explode(held))
+    rows = rows.withColumn("hit", F.explode(hits(text, F.col("p.pattern")))).where(strip(F.col("hit.found")) != "")
+    rows = rows.withColumn("col", F.col("at") + F.col("hit.col"))
+    rest = F.substring(F.col("raw"), F.col("col"), F.length("raw"))
+    rows = rows.where(F.col("p.guard").isNull() | ~F.rlike(rest, F.concat(F.lit(r"\A(?:"), F.col("p.guard"), F.lit(")"))))
+    found = F.substring(F.col("own"), F.col("hit.col"), F.length("hit.found"))
+    best = F.min(F.struct("p.pat_ord", found.alias("found"), "raw")).alias("best")
+    rows = rows.groupBy("doc_id", "filename", "ln", "col", "p.rule_id").agg(best)
+    word = F.when(F.col("rule_id") == "D001", F.expr("substring(best.found, 1, length(best.found) div 2)")).otherwise(F.col("best.found"))
+    return rows.select("doc_id", "filename", "ln", "col", "rule_id", F.col("best.found").alias("found"), sentence_at(F.col("best.raw"), F.col("col")).alias("sentence"), word.alias("w"))
+
+
+def text_blocks(rows: DataFrame) -> DataFrame:
+    """Paragraphs and table cells as texts whose sentences are measured: doc_id, filename, lns (the line numbers),
+    at, masked, own."""
+    prose = rows.where((F.col("role") == "paragraph") & (strip(F.col("raw")) != ""))
+    island = F.col("ln") - F.row_number().over(Window.partitionBy("doc_id", "filename").orderBy("ln"))
+    parts = F.array_sort(F.collect_list(F.struct("ln", "masked", "raw"))).alias("parts")
+    joined = prose.withColumn("island", island).groupBy("doc_id", "filename", "island").agg(parts)
+    joined = joined.select("doc_id", "filename", F.col("parts.ln").alias("lns"), F.lit(0).alias("at"), F.array_join("parts.masked", "\n").alias("masked"), F.array_join("parts.raw", "\n").alias("own"))
+    cells = rows.where("role = 'table'").select("doc_id", "filename", "ln", F.explode("cells").alias("c"))
+    return joined.unionByName(cells.select("doc_id", "filename", F.array("ln").alias("lns"), (F.col("c.col") - 1).alias("at"), "c.masked", F.col("c.raw").alias("own")))
+
+
+def sentence_findings(blocks: DataFrame, most: int) -> DataFrame:
+    """S001: sentences of more than `most` characters, white space and marks of emphasis left out, that are mostly Chinese."""
+    cut = F.split("masked", f"(?<=[{TERMINATORS}])", -1)
+    bare = rf"(?U)[*_`\s\x1c-\x1f]"
+    # a block without a sentence that is long enough goes before anything is placed
+    rows = blocks.where(F.length(F.regexp_replace("masked", bare, "")) > most).select("*", cut.alias("cut"))
+    rows = rows.select("doc_id", "filename", "lns", "at", "own", "cut", F.posexplode("cut").alias("i", "segment"))
+    size = F.length(F.regexp_replace("segment", bare, ""))
+    chinese = F.length(F.regexp_replace("segment", "[^一-鿿]", ""))
+    rows = rows.withColumn("n", size).where((F.col("n") > most) & (chinese >= 0.3 * F.col("n")))
+    # where the sentence stands: what comes before it in the block, then its own white space
+    rows = rows.withColumn("start", F.length(F.array_join(F.slice("cut", F.lit(1), F.col("i")), "")))
+    rows = rows.withColumn("written", F.expr("substring(own, start + 1, length(segment))"))
+    lead = F.length("written") - F.length(F.regexp_replace("written", r"(?U)\A[\s\x1c-\x1f]+", ""))
+    rows = rows.withColumn("before", F.split(F.expr("substring(own, 1, start)"), "\n", -1)).withColumn("lead", lead)
+    before = F.split(F.substring(F.col("own"), F.lit(1), F.col("start") + F.col("lead")), "\n", -1)
+    rows = rows.withColumn("before", before).withColumn("found", strip(F.col("written")))
+    ln, col = F.element_at("lns", F.size("before")), F.length(F.element_at("before", -1)) + 1 + F.col("at")
+    return rows.select("doc_id", "filename", ln.alias("ln"), col.alias("col"), F.lit("S001").alias("rule_id"), "found", F.col("found").alias("sentence"), F.col("n").cast("string").alias("w"))
+
+
+def scan(docs: DataFrame, profile: str = "general") -> DataFrame:
+    """Every finding of documents (doc_id, filename, text) under a profile: doc_id, filename, ln, col, rule_id,
+    category, severity, found, message, sentence, review_hint, seq; ordered_scan() has them in report order.
+
+    One row for each (ln, col, rule). An unknown profile counts as general; a null text has no findings.
+    """
+    off, most = rules.PROFILES.get(profile, rules.PROFILES["general"])[0], rules.longest(profile)
+    rows = laid_out(docs)
+    found = [pattern_hits(units(rows), rules.rule_patterns(profile)), sentence_findings(text_blocks(rows), most)]
+    heads = headings(rows.select("doc_id", "filename", "ln", "raw", "masked", "role"))
+    empty = heads.where("title = ''")
+    found.append(empty.select("doc_id", "filename", "ln", F.lit(1).alias("col"), F.lit("DOC001").alias("rule_id"), F.lit("").alias("found"), strip(F.col("raw")).alias("sentence"), F.lit("").alias("w")))
+    if "DOC002" not in off:
+        gaps = heading_gaps(rows.select("doc_id", "filename", "ln", "raw", "masked", "role"))
+        col = F.greatest(F.lit(1), F.expr("instr(raw, title)"))
+        found.append(gaps.select("doc_id", "filename", "ln", col.alias("col"), F.lit("DOC002").alias("rule_id"), F.lit("").alias("found"), strip(F.col("raw")).alias("sentence"), F.concat_ws("\n", "prev", "number").alias("w")))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    large = docs.where(F.col("filename").endswith("SKILL.md")).withColumn("n_lines", n_lines).where(F.col("n_lines") > rules.MOST_LINES)
+    first = F.element_at(F.split("text", "\n", -1), 1)
+    found.append(large.select("doc_id", "filename", F.lit(1).alias("ln"), F.lit(1).alias("col"), F.lit("A900").alias("rule_id"), F.lit("").alias("found"), sentence_at(first, F.lit(1)).alias("sentence"), F.col("n_lines").cast("string").alias("w")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    about = {r: rules.by_id(r) for r in rules.ORDER}
+    pick = lambda f: F.coalesce(*[F.when(F.col("rule_id") == r, F.lit(f(r))) for r in about])
+    limit = F.when(F.col("rule_id") == "A900", F.lit(str(rules.MOST_LINES))).otherwise(F.lit(str(most)))
+    message = pick(lambda r: rules.MESSAGES[r])
+    for mark, value in (("{w}", F.col("w")), ("{len}", F.col("w")), ("{max}", limit), ("{prev}", F.split("w", "\n")[0]), ("{curr}", F.element_at(F.split("w", "\n"), -1))):
+        message = F.replace(message, F.lit(mark), value)
+    return out.select(
+        "doc_id", "filename", "ln", "col", "rule_id",
+        pick(lambda r: about[r]["category"]).alias("category"), pick(lambda r: rules.severity(r, about[r]["severity"], about[r]["semantic"], profile)).alias("severity"),
+        "found", message.alias("message"), "sentence", pick(lambda r: about[r]["review_hint"]).alias("review_hint"), pick(lambda r: rules.ORDER[r]).alias("seq"),
+    )
+
+
+def ordered_scan(docs: DataFrame, profile: str = "general") -> DataFrame:
+    return scan(docs, profile).orderBy("filename", "doc_id", "ln", "col", "seq")

@@ -64,3 +64,36 @@ def not_ignored(files: DataFrame, lines: list[str]) -> DataFrame:
 def effective_profile(filename: Column, asked: str) -> Column:
     """A profile that was asked for stays; else instruction documents get their own."""
     return F.when(filename.endswith("SKILL.md") & F.lit(asked == "general"), F.lit("instruction")).otherwise(F.lit(asked))
+
+
+def message_lines(findings: DataFrame) -> DataFrame:
+    """doc_id, ln, col, rule_id, line: report lines with messages; what was found follows a message that names nothing."""
+    place = F.concat_ws(":", "filename", F.col("ln").cast("string"), F.col("col").cast("string"))
+    named = F.when((F.col("found") != "") & ~F.col("message").contains("「"), F.concat(F.lit(" 「"), "found", F.lit("」"))).otherwise("")
+    line = F.concat(place, F.lit("  "), _wide(F.col("rule_id"), 5), F.lit(" "), _wide(F.col("severity"), 10), F.lit(" "), F.col("category"), F.lit("  "), F.col("message"), named)
+    return findings.select("doc_id", "ln", "col", "rule_id", line.alias("line"))
+
+
+def summary(findings: DataFrame) -> DataFrame:
+    """One row: how many findings in all and in each file that has any; files are counted before they meet."""
+    files = findings.groupBy("filename").agg(F.count("*").alias("n"))
+    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("filename", "n"))), lambda x: F.concat(x["filename"], F.lit(": "), x["n"].cast("string"))), "  ")
+    text = F.concat(F.lit("✖ "), F.sum("n").cast("string"), F.lit(" 处（"), each, F.lit("）"))
+    return files.agg(F.coalesce(text, F.lit("✅ 未发现坏味")).alias("summary"))
+
+
+def public(findings: DataFrame, docs: DataFrame) -> DataFrame:
+    """The public form of findings, with the lines before and after: rule, type, severity, category, message,
+    review_hint, file, line, column, text, sentence, before, after."""
+    lines = docs.select(F.col("doc_id").alias("of"), F.split("text", "\n", -1).alias("lines"))
+    rows = findings.join(lines, F.col("doc_id").eqNullSafe(F.col("of")))
+    kind = F.when(F.col("severity") == "candidate", "candidate").otherwise("lint")
+    return rows.select(
+        F.col("rule_id").alias("rule"), kind.alias("type"), "severity", "category", "message", "review_hint", F.col("filename").alias("file"), F.col("ln").alias("line"),
+        F.col("col").alias("column"), F.col("found").alias("text"), "sentence", F.try_element_at("lines", F.when(F.col("ln") > 1, F.col("ln") - 1)).alias("before"), F.try_element_at("lines", F.col("ln") + 1).alias("after"),
+    )
+
+
+def write_json(findings: DataFrame, docs: DataFrame, path: str) -> None:
+    """The public form as JSON lines, nulls written."""
+    public(findings, docs).write.option("ignoreNullFields", "false").json(path)

@@ -11,9 +11,10 @@ from ..functions import rules
 from ..operators import blockxml, decisions, lint, outline, report, review
 from ..sources.corpus import ZH_SQL, zh_corpus
 from ..streaming import jobs
+from . import scan_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(scan_queries.QUERIES)
+SQL: dict[str, str] = dict(scan_queries.SQL)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -180,8 +181,7 @@ SELECT rule_id, count(*) AS total, CAST(count_if(decision = 'KEEP') AS BIGINT) A
        CAST(count_if(decision = 'ASK') AS BIGINT) AS n_ask, CAST(CAST(count_if(decision = 'KEEP') AS BIGINT) AS DOUBLE) / count(*) AS keep_rate FROM ({_FEEDBACK}) GROUP BY rule_id
 """)
 def feedback_keep_rate(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return review.keep_rates(spark.sql(_FEEDBACK))
+    return review.keep_rates(spark.sql(_FEEDBACK.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events")))
 
 
 @query("workspace_search", """
@@ -293,16 +293,18 @@ _FILES = """SELECT concat(CASE doc_id % 4 WHEN 0 THEN 'docs/' WHEN 1 THEN 'node_
   CASE doc_id % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.py' ELSE '.markdown' END) AS path FROM documents"""
 
 
+def _files(spark, sf_dir):
+    return spark.sql(_FILES.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents").select("doc_id"))
+
+
 @query("walked_files", f"SELECT DISTINCT path FROM ({_FILES}) WHERE regexp_matches(path, '[.](md|txt|rst|markdown)$') AND NOT starts_with(path, '.git/') AND NOT starts_with(path, 'node_modules/')")
 def walked_files(spark, sf_dir):
-    table(spark, sf_dir, "documents").select("doc_id").createOrReplaceTempView("documents")
-    return report.walked(spark.sql(_FILES), (".git", "node_modules"))
+    return report.walked(_files(spark, sf_dir), (".git", "node_modules"))
 
 
 @query("ignored_files", f"SELECT path FROM ({_FILES}) WHERE NOT (starts_with(path, 'notes/') OR regexp_matches(path, '/f[^/]*7[.]md$'))")
 def ignored_files(spark, sf_dir):
-    table(spark, sf_dir, "documents").select("doc_id").createOrReplaceTempView("documents")
-    return report.not_ignored(spark.sql(_FILES), ["# drafts", "", "notes/", "f*7.md"])
+    return report.not_ignored(_files(spark, sf_dir), ["# drafts", "", "notes/", "f*7.md"])
 
 
 @query("effective_profile", f"SELECT doc_id, CASE WHEN filename LIKE '%SKILL.md' THEN 'instruction' ELSE 'general' END AS profile FROM ({ZH_SQL})")
@@ -334,8 +336,8 @@ o AS (SELECT *, coalesce(sum(prefix + n + 2) OVER (PARTITION BY doc_id ORDER BY
 SELECT doc_id, concat('b', ln) AS block_id, kind, CAST(start AS INTEGER) AS start, CAST(start + n AS INTEGER) AS end_, text, kind <> 'heading' AS writable FROM o
 """)
 def xml_spans(spark, sf_dir):
-    lint.lines(zh_corpus(spark, sf_dir), False).select("doc_id", "ln", "raw").createOrReplaceTempView("zh_lines")
-    rows = spark.sql(_XML.format(lines="SELECT * FROM zh_lines"))
+    lines = lint.lines(zh_corpus(spark, sf_dir), False).select("doc_id", "ln", "raw")
+    rows = spark.sql(_XML.format(lines="SELECT * FROM {zh_lines}"), zh_lines=lines)
     tag = F.when(F.col("kind") == "heading", "h2").when(F.col("kind") == "blockquote", "blockquote").when(F.col("kind") == "list_item", "li").otherwise("p")
     block = F.concat(F.lit("<"), tag, F.lit(' id="b'), F.col("ln"), F.lit('">'), "text", F.lit("</"), tag, F.lit(">"))
     docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ln", block.alias("x")))).alias("all")).select("doc_id", F.array_join("all.x", "").alias("xml"))
