@@ -42,3 +42,122 @@ def segment_of(findings: DataFrame, segments: DataFrame) -> DataFrame:
     """Findings (doc_id, offset, ...) with the seg_no whose half-open core holds them; equi-joined on the document."""
     inside = (F.col("f.offset") >= F.col("s.start")) & (F.col("f.offset") < F.col("s.end_"))
     return findings.alias("f").join(segments.alias("s"), (F.col("f.doc_id") == F.col("s.doc_id")) & inside).select("f.*", "s.seg_no")
+
+
+# --- rewrites: links, coverage, conflicts, revised texts --------------------------------------------------------------
+
+#: Why a rewrite becomes a question.
+NUMERIC = "改写涉及数字、日期或版本等数值文本的增删或变化，请补充依据并确认目标表述。"
+OVERLAPS = "该建议与另一处改写重叠，需要人工确认。"
+CROSSES = "该改写跨越分段边界，请阅读全文后人工确认。"
+
+
+def place_of(text: Column, before: Column, start: Column) -> Column:
+    """Where a passage stands, from 0: at start if it does stand there, without a start at its only place; else null."""
+    times = F.try_divide(F.length(text) - F.length(F.replace(text, before, F.lit(""))), F.length(before))
+    trusted = F.when((start >= 0) & (F.substring(text, start + 1, F.length(before)) == before), start)
+    return F.when(F.coalesce(before, F.lit("")) == "", None).when(start.isNotNull(), trusted).when(times == 1, F.instr(text, before) - 1)
+
+
+def verified_links(semantic: DataFrame, findings: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, seq, finding_id: the claimed links (semantic: doc_id, seq, before, source_start, related) whose finding
+    (doc_id, finding_id, offset, found) lies within the passage. Equi-joined on the document and the finding."""
+    placed = semantic.join(docs.select("doc_id", "text"), "doc_id").withColumn("at", place_of(F.col("text"), F.col("before"), F.col("source_start")))
+    claimed = placed.where("at IS NOT NULL").select("doc_id", "seq", "at", (F.col("at") + F.length("before")).alias("upto"), F.explode(F.array_distinct("related")).alias("finding_id"))
+    inside = claimed.join(findings, ["doc_id", "finding_id"]).where((F.col("found") != "") & (F.col("offset") >= F.col("at")) & (F.col("offset") + F.length("found") <= F.col("upto")))
+    return inside.select("doc_id", "seq", "finding_id")
+
+
+def coverage(findings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """finding_id, state for every finding (finding_id, rule) and decision (finding_id, rule): ok, missing, unknown,
+    duplicate, or rule where they name different ones."""
+    given = decisions.groupBy("finding_id").agg(F.count("*").alias("n"), F.min("rule").alias("decided"))
+    both = findings.select("finding_id", "rule").join(given, "finding_id", "full")
+    state = F.when(F.col("n").isNull(), "missing").when(F.col("rule").isNull(), "unknown").when(F.col("n") > 1, "duplicate").when(F.col("rule") != F.col("decided"), "rule").otherwise("ok")
+    return both.select("finding_id", state.alias("state"))
+
+
+def resolve_rewrites(decisions: DataFrame, docs: DataFrame, changed) -> DataFrame:
+    """Decisions (doc_id, lane, seq, action, before, after, reason, source_start) with action, after and reason settled
+    and their place at: static ones first, then semantic ones, each by seq. A rewrite that changes numbers, or overlaps
+    an accepted one, becomes a question; one whose passage has no single place is `invalid`. changed: of two columns,
+    whether their numbers differ. The decisions of a document are folded within its row."""
+    rows = decisions.join(docs.select("doc_id", "text"), "doc_id")
+    rows = rows.withColumn("at", place_of(F.col("text"), F.col("before"), F.col("source_start")).cast("int")).withColumn("numeric", changed(F.col("before"), F.col("after")))
+    rank = F.when(F.col("lane") == "static", 0).otherwise(1).alias("rank")
+    item = F.struct(rank, "seq", "lane", "action", "before", "after", "reason", "at", "numeric")
+    folded = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    span = "array<struct<a:int,b:int>>"
+    start = F.struct(F.array().cast(span).alias("taken"), F.slice("all", 1, 0).alias("out"))
+
+    def step(acc: Column, d: Column) -> Column:
+        end = d["at"] + F.length(d["before"])
+        rewrite = d["action"] == "REWRITE"
+        hit = F.exists(acc["taken"], lambda t: (d["at"] < t["b"]) & (end > t["a"]))
+        state = F.when(~rewrite, "kept").when(d["at"].isNull() | (d["before"] == d["after"]), "invalid").when(d["numeric"], "numeric").when(hit, "overlap").otherwise("taken")
+        asked = state.isin("numeric", "overlap")
+        settled = F.struct(
+            d["rank"].alias("rank"), d["seq"].alias("seq"), d["lane"].alias("lane"), F.when(asked, "ASK").when(state == "invalid", "INVALID").otherwise(d["action"]).alias("action"), d["before"].alias("before"),
+            F.when(asked, "").otherwise(d["after"]).alias("after"), F.concat(F.when(state == "numeric", NUMERIC).when(state == "overlap", OVERLAPS).otherwise(""), d["reason"]).alias("reason"), d["at"].alias("at"), d["numeric"].alias("numeric"),
+        )
+        taken = F.when(state == "taken", F.concat(acc["taken"], F.array(F.struct(d["at"].alias("a"), end.alias("b"))))).otherwise(acc["taken"])
+        return F.struct(taken.alias("taken"), F.concat(acc["out"], F.array(settled)).alias("out"))
+
+    out = folded.select("doc_id", F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("d"))
+    return out.select("doc_id", "d.lane", "d.seq", "d.action", "d.before", "d.after", "d.reason", "d.at")
+
+
+def revised_texts(decisions: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, revised: every document with its accepted rewrites (doc_id, action, at, before, after, none overlapping)
+    put in from right to left."""
+    edits = decisions.where("action = 'REWRITE'").groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("at", "before", "after")))).alias("edits"))
+    rows = docs.select("doc_id", "text").join(edits, "doc_id", "left")
+    put = lambda t, e: F.concat(F.substring(t, F.lit(1), e["at"]), e["after"], F.substring(t, e["at"] + F.length(e["before"]) + 1, F.length(t)))
+    none = F.array().cast("array<struct<at:int,before:string,after:string>>")
+    return rows.select("doc_id", F.aggregate(F.coalesce("edits", none), F.col("text"), put).alias("revised"))
+
+
+def accepted_only(decisions: DataFrame, choices: DataFrame) -> DataFrame:
+    """The rewrites that a user accepted; choices: decision_id, choice."""
+    return decisions.where("action = 'REWRITE'").join(choices.where("choice = 'accepted'").select("decision_id").distinct(), "decision_id", "left_semi")
+
+
+def global_offsets(decisions: DataFrame, segments: DataFrame) -> DataFrame:
+    """Decisions of segments (doc_id, seg_no, finding_id, action, before, after, reason, offset from the context's
+    start) at places of the document: at, and action, after and reason where a rewrite crosses its segment's core.
+    Semantic ones outside the core belong to another segment and go. segments: doc_id, seg_no, start, end_, context_start."""
+    rows = decisions.join(segments.select("doc_id", "seg_no", "start", "end_", "context_start"), ["doc_id", "seg_no"])
+    rows = rows.withColumn("at", F.col("context_start") + F.col("offset"))
+    rows = rows.where(F.col("finding_id").isNotNull() | ((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end_"))))
+    crosses = (F.col("action") == "REWRITE") & ((F.col("at") < F.col("start")) | (F.col("at") + F.length("before") > F.col("end_")))
+    return rows.select(
+        "doc_id", "seg_no", "finding_id", F.when(crosses, "ASK").otherwise(F.col("action")).alias("action"), "before", F.when(crosses, "").otherwise(F.col("after")).alias("after"),
+        F.when(crosses, F.concat(F.lit(CROSSES), "reason")).otherwise(F.col("reason")).alias("reason"), "at",
+    )
+
+
+def decision_id(finding_id: Column, at: Column, rule: Column, before: Column, after: Column) -> Column:
+    """static-N, or semantic-place-hash of a JSON list of rule, before and after."""
+    quoted = [F.regexp_replace(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", "$1") for c in (rule, before, after)]
+    digest = F.substring(F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *quoted), F.lit("]")), 256), 1, 16)
+    return F.when(finding_id.isNotNull(), F.concat(F.lit("static-"), finding_id.cast("string"))).otherwise(F.concat(F.lit("semantic-"), at.cast("string"), F.lit("-"), digest))
+
+
+def clarification(text: Column, before: Column, start: Column) -> Column:
+    """(left, passage): the line around a passage, 400 characters on each side at most; null where it has no one place."""
+    at = place_of(text, before, start)
+    end = at + F.length(before)
+    begun = at - F.length(F.element_at(F.split(F.substring(text, F.lit(1), at), "\n", -1), -1))
+    rest = F.length(F.element_at(F.split(F.substring(text, end + 1, F.length(text)), "\n", -1), 1))
+    left, right = F.greatest(begun, at - 400), F.least(end + rest, end + 400)
+    wide = right - left > 2000
+    left, right = F.when(wide, at).otherwise(left), F.when(wide, end).otherwise(right)
+    found = F.struct(left.alias("left"), F.substring(text, left + 1, right - left).alias("passage"))
+    return F.when(at.isNotNull() & (F.length(before) <= 2000), found)
+
+
+def progress(segments: DataFrame, done: DataFrame) -> DataFrame:
+    """doc_id, total, completed, reviewed_chars: segments (doc_id, seg_no, start, end_) against those done (doc_id, seg_no)."""
+    marked = segments.join(done.select("doc_id", "seg_no").distinct().withColumn("done", F.lit(True)), ["doc_id", "seg_no"], "left")
+    chars = F.sum(F.when(F.col("done"), F.col("end_") - F.col("start")).otherwise(0))
+    return marked.groupBy("doc_id").agg(F.count("*").alias("total"), F.count("done").alias("completed"), chars.alias("reviewed_chars"))
