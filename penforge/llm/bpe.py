@@ -31,6 +31,8 @@ from .common import Pieces, read_table, released, whole_text
 
 #: Bytes of text, or ids, that are worked on at once; a longer text makes a batch of its own.
 BATCH_BYTES, BATCH_IDS = 1_000_000, 300_000
+#: Words, and chunks of text, that are remembered, and their ids.
+REMEMBERED = 150_000, 2_000_000
 #: Bytes from which a word is long: it is cut apart, and what stays long is contracted at many places a round.
 LONG = 64
 #: Words, and their bytes, in one recursive query; a longer word has one of its own.
@@ -84,7 +86,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.by_byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.names = pa.array([str(i) for i in range(max(self.ranks.values()) + 1)])
-        self.words, self.chunks = Pieces(), Pieces()
+        self.words, self.chunks = Pieces(*REMEMBERED), Pieces(*REMEMBERED)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         pairs, merged = [], []
         for token, rank in self.ranks.items():
