@@ -56,6 +56,7 @@ def hits(text: Column, pattern: Column) -> Column:
     return F.aggregate(zipped, begin, step, lambda acc: acc["out"])
 
 
+#: Inline spans in the order in which they are masked, links, fences.
 _SPANS = [re.compile(p) for p in (r"`[^`\n]*`", r"!\[[^\]\n]*\]\([^)\n]*\)", r"<[^>\n]+>", r"~~[^~\n]+~~")]
 _LINK = re.compile(r"\[([^\]\n]*)\]\([^)\n]*\)")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
@@ -123,6 +124,7 @@ def masked(text: str) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
+#: List marks, cells of a delimiter row.
 _LIST = re.compile(r"[-*+]\s|\d+[.、)]\s")
 _DELIMITER = re.compile(r":?-{3,}:?")
 _CELL = re.compile(r"(?:`[^`]*(?:`|\Z)|\\.|[^|`])*", re.S)

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Decisions, and what counts as a number.
 DECISIONS = ("KEEP", "REWRITE", "VERIFY", "ASK")
 NUMBER = r"(?U)[+\-−]?\d+(?:[.,:/-]\d+)*[%％]?"
 

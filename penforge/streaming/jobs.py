@@ -17,6 +17,9 @@ PARTS = "user_id long, request long, first_event long, last_event long, n_events
 def _folder(spark: SparkSession, tag: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="penforge-stream-")
         atexit.register(shutil.rmtree, base, True)
     return f"{base.rstrip('/')}/penforge/{tag}-{uuid.uuid4().hex[:12]}"
