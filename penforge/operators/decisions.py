@@ -161,3 +161,55 @@ def progress(segments: DataFrame, done: DataFrame) -> DataFrame:
     marked = segments.join(done.select("doc_id", "seg_no").distinct().withColumn("done", F.lit(True)), ["doc_id", "seg_no"], "left")
     chars = F.sum(F.when(F.col("done"), F.col("end_") - F.col("start")).otherwise(0))
     return marked.groupBy("doc_id").agg(F.count("*").alias("total"), F.count("done").alias("completed"), chars.alias("reviewed_chars"))
+
+
+# --- answers of a review lane -----------------------------------------------------------------------------------------
+
+#: Actions, and how rules of the lane that reads the whole text begin.
+ACTIONS, SEMANTIC = ("KEEP", "REWRITE", "VERIFY", "ASK"), "SEMANTIC_"
+
+
+def parse_lane(content: Column, lane: str, n_findings: Column) -> Column:
+    """summary, decisions, error, item of a lane's answer: JSON, in a fence or not. error is the first thing wrong, item
+    the number of the decision that has it. Whether a static lane covers its findings is coverage()'s to say."""
+    bare = F.regexp_extract(F.regexp_replace(content, r"(?U)\A\s+|\s+\z", ""), r"(?s)\A(?:```[^\n]*\n(?=.*\n[^\S\n]*```\z))?(.*?)(?:(?<=\n)[^\S\n]*```)?\z", 1)
+    value = F.try_parse_json(bare)
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+    def field(of: Column, path: str, kind: str, t: str) -> Column:
+        return F.when(F.schema_of_variant(F.try_variant_get(of, path, "variant")).startswith(kind), F.try_variant_get(of, path, t))
+
+    def nothing(of: Column, path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(of, path, "variant")) == "VOID", F.lit(True))
+
+    items = field(value, "$.decisions", "ARRAY", "array<variant>")
+    summary = trimmed(field(value, "$.summary", "STRING", "string"))
+
+    def checked(d: Column, i: Column) -> Column:
+        rule, reason = (trimmed(field(d, f"$.{k}", "STRING", "string")) for k in ("rule", "reason"))
+        action, number = field(d, "$.action", "STRING", "string"), field(d, "$.finding_index", "BIGINT", "long")
+        related = field(d, "$.related_finding_indexes", "ARRAY", "array<variant>")
+        linked = F.transform(related, lambda x: field(x, "$", "BIGINT", "long"))
+        given = {k: F.when(F.try_variant_get(d, f"$.{k}", "variant").isNull(), "").otherwise(field(d, f"$.{k}", "STRING", "string")) for k in ("before", "after")}
+        blank = lambda c: F.coalesce(c, F.lit("")) == ""
+        error = F.when(~F.schema_of_variant(d).startswith("OBJECT"), "object").when(blank(rule), "rule").when(~nothing(d, "$.finding_index") & (F.coalesce(number, F.lit(0)) < 1), "finding_index")
+        error = error.when(~F.coalesce(action.isin(*ACTIONS), F.lit(False)), "action").when(blank(reason), "reason").when(given["before"].isNull() | given["after"].isNull(), "before/after")
+        if lane == "semantic":
+            error = error.when(related.isNull() | F.exists(linked, lambda x: ~F.coalesce(x.between(1, n_findings), F.lit(False))), "related").when(F.size(F.array_distinct(linked)) != F.size(linked), "related twice")
+            late = F.when(~nothing(d, "$.finding_index"), "indexed").when(~rule.startswith(SEMANTIC), "rule name").when(action == "KEEP", "keep")
+        else:
+            linked = F.array().cast("array<bigint>")
+            late = F.when(nothing(d, "$.finding_index"), "not indexed")
+        return F.struct(
+            (i + 1).alias("item"), error.alias("early"), late.alias("late"), number.alias("finding_index"), rule.alias("rule"), action.alias("action"), reason.alias("reason"),
+            given["before"].alias("before"), given["after"].alias("after"), linked.alias("related"),
+        )
+
+    rows = F.transform(items, checked)
+    first = lambda k: F.try_element_at(F.filter(rows, lambda r: r[k].isNotNull()), F.lit(1))
+    early, late = first("early"), first("late")
+    error = F.when(value.isNull(), "json").when(~F.schema_of_variant(value).startswith("OBJECT"), "object").when(F.coalesce(summary, F.lit("")) == "", "summary").when(items.isNull(), "decisions")
+    error = error.when(early.isNotNull(), early["early"]).when(late.isNotNull(), late["late"])
+    item = F.when(value.isNotNull() & items.isNotNull() & (F.coalesce(summary, F.lit("")) != ""), F.coalesce(early["item"], late["item"]))
+    good = F.transform(rows, lambda r: F.struct(*[r[k].alias(k) for k in ("finding_index", "rule", "action", "reason", "before", "after", "related")]))
+    return F.struct(F.when(error.isNull(), summary).alias("summary"), F.when(error.isNull(), good).alias("decisions"), error.alias("error"), item.alias("item"))

@@ -376,3 +376,25 @@ def fingerprint_failures(derived: DataFrame, plans: DataFrame) -> DataFrame:
     many = (F.size("expected") != F.size("fingerprints")) | F.exists("expected", lambda x: F.coalesce(x, F.lit("")) == "")
     failure = F.when(F.coalesce(many, F.lit(True)), "expected_fingerprints_mismatch").when(F.col("expected") != F.col("fingerprints"), "expected_fingerprint_mismatch")
     return rows.select("doc_id", failure.alias("failure"))
+
+
+def remapped(patches: DataFrame, given: DataFrame, parts: DataFrame, owned: DataFrame) -> DataFrame:
+    """doc_id, patch_id, block_id, failure of patches (doc_id, patch_id, locator, path, source_start, source_end, before)
+    whose block ids are stale, in a later state of their documents.
+
+    The new block is the only one of the patch's section that has the words at the path and offsets; the words are never
+    searched for. Joined by document and path. A block's id has to be its alone. failure: missing_section,
+    ambiguous_section, remap_failed, block_outside_section (a deeper section owns it), or null.
+    """
+    span = parts.groupBy("doc_id", "locator").agg(F.count("*").alias("n_sections"), F.min("first").alias("first"), F.max("last").alias("last"))
+    single = owned.where("n_blocks = 1").select("doc_id", "block_id", F.col("locator").alias("owner"))
+    nodes = given.where("path IS NOT NULL AND block_id IS NOT NULL").join(single, ["doc_id", "block_id"]).select("doc_id", "path", "pos", "text", "block_id", "owner")
+    asked = patches.select("doc_id", "patch_id", "locator", "path", "source_start", "source_end", "before").join(span, ["doc_id", "locator"], "left")
+    stands = F.expr("substring(text, source_start + 1, source_end - source_start) = before AND source_start >= 0 AND pos BETWEEN first AND last")
+    held = asked.join(nodes, ["doc_id", "path"]).where(stands).groupBy("doc_id", "patch_id").agg(F.count("*").alias("n"), F.min("block_id").alias("block_id"), F.min("owner").alias("owner"))
+    out = asked.join(held, ["doc_id", "patch_id"], "left")
+    failure = (
+        F.when(F.col("n_sections").isNull(), "missing_section").when(F.col("n_sections") > 1, "ambiguous_section").when(F.coalesce("n", F.lit(0)) != 1, "remap_failed")
+        .when(~F.col("owner").eqNullSafe(F.col("locator")), "block_outside_section")
+    )
+    return out.withColumn("failure", failure).select("doc_id", "patch_id", F.when(F.col("failure").isNull(), F.col("block_id")).alias("block_id"), "failure")

@@ -116,3 +116,29 @@ def document_ref(url: Column, hosts: list[str], suffixes: list[str] = (), kinds:
     mark = F.when(part("REF").startswith("share-"), F.concat(F.lit("#"), part("REF"))).otherwise("")
     kept = lambda c: F.when(error.isNull(), c)
     return F.struct(kept(kind).alias("kind"), kept(token).alias("token"), kept(F.concat(F.lit("https://"), F.lower(part("HOST")), F.lit("/"), kind, F.lit("/"), token, mark)).alias("url"), error.alias("error"))
+
+
+def payload(text: Column, input_url: Column, hosts: list[str], suffixes: list[str] = ()) -> Column:
+    """document_id, revision, url, xml, error of a recorded answer for a document, the text being JSON.
+
+    The content stands in data.document or, in older answers, in data; both may, if they agree. An answer without an
+    address gets the asked one's host. The error is the answer's own type where it isn't ok, else the first of
+    invalid_response, ambiguous_content, unresolved_document and missing_revision that applies, in the fields' order.
+    """
+    value = F.try_parse_json(text)
+    get = lambda path, t: F.try_variant_get(value, path, t)
+    is_a = lambda path, t: F.coalesce(F.schema_of_variant(get(path, "variant")).startswith(t), F.lit(False))
+    words = lambda path: F.when(is_a(path, "STRING"), F.nullif(get(path, "string"), F.lit("")))
+    new, old, name = words("$.data.document.content"), words("$.data.content"), words("$.data.document.document_id")
+    number = F.when(is_a("$.data.document.revision_id", "BIGINT"), get("$.data.document.revision_id", "long"))
+    host = F.try_parse_url(F.trim(input_url), F.lit("HOST"))
+    url = F.coalesce(words("$.data.document.url"), F.concat(F.lit("https://"), host, F.lit("/docx/"), name))
+    ref = document_ref(F.trim(F.regexp_replace(url, r"(?s)[?#].*", "")), hosts, suffixes)
+    same = ref["error"].isNull() & (ref["kind"] == "docx") & (ref["token"] == name)
+    own = [F.nullif(get(f"$.error.{k}", "string"), F.lit("")) for k in ("type", "code")]
+    error = F.when(~(is_a("$.ok", "BOOLEAN") & F.coalesce(get("$.ok", "boolean"), F.lit(False))), F.coalesce(*own, F.lit("protocol_error")))
+    error = error.when(~is_a("$.data", "OBJECT") | ~is_a("$.data.document", "OBJECT"), "invalid_response").when(new != old, "ambiguous_content").when(F.coalesce(new, old).isNull(), "invalid_response")
+    error = error.when(name.isNull(), "unresolved_document").when(get("$.data.document.revision_id", "variant").isNull(), "missing_revision")
+    error = error.when(F.coalesce(number, F.lit(0)) <= 0, "invalid_response").when(~F.coalesce(same, F.lit(False)), "unresolved_document")
+    kept = lambda c: F.when(error.isNull(), c)
+    return F.struct(kept(name).alias("document_id"), kept(number).alias("revision"), kept(ref["url"]).alias("url"), kept(F.coalesce(new, old)).alias("xml"), error.alias("error"))
