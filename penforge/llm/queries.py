@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html_text, ngram_join, pii, quality, sharding, token_orc, toxicity
+from . import bpe, chat, decontaminate, exact_dedup, html_text, merkle, ngram_join, pii, quality, sharding, token_orc, toxicity, whitening
 
 QUERIES = {
     "op1_quality_qda": quality.op1_quality_qda,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_rendezvous_sharding": sharding.op8_rendezvous_sharding,
     "op9_pii": pii.op9_pii,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_chat_format": chat.op12_chat_format,
+    "op13_merkle": merkle.op13_merkle,
 }
-SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL}
+SQL = {"op6_exact_dedup": exact_dedup.OP6_SQL, "op12_chat_format": chat.OP12_SQL, "op13_merkle": merkle.OP13_SQL}
