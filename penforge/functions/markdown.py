@@ -5,9 +5,12 @@ Positions count code points from 1. Masks replace what isn't prose by as many sp
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 BLANK = r"[\s\x1c-\x1f]"
@@ -45,15 +48,11 @@ def heading_title(raw: Column) -> Column:
 
 def hits(text: Column, pattern: Column) -> Column:
     """Array of (col, found): the leftmost non-overlapping matches, by lengths of what lies between them."""
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    start = {"col": F.lit(1), "out": F.array().cast("array<struct<col:int,found:string>>")}
-    begin = F.struct(*[v.alias(k) for k, v in start.items()])
-    step = lambda acc, z: F.struct(
-        (acc["col"] + F.length(z["part"]) + F.length(z["found"])).alias("col"),
-        F.array_append(acc["out"], F.struct((acc["col"] + F.length(z["part"])).alias("col"), z["found"].alias("found"))).alias("out"),
-    )
-    zipped = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda a, b: F.struct(a.alias("part"), b.alias("found")))
-    return F.aggregate(zipped, begin, step, lambda acc: acc["out"])
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    parts = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    before = starts(F.zip_with(parts, found, lambda part, x: F.length(part) + F.length(x)))
+    cols = F.zip_with(before, parts, lambda n, part: n + F.length(part) + 1)
+    return F.zip_with(cols, found, lambda col, x: F.struct(col.alias("col"), x.alias("found")))
 
 
 #: Inline spans in the order in which they are masked, links, fences.
@@ -66,7 +65,13 @@ def _spaces(m: re.Match) -> str:
     return " " * len(m[0])
 
 
+#: A line without these has nothing to mask.
+_MARKS = re.compile(r"[`<~\]]")
+
+
 def mask_line(line: str) -> str:
+    if not _MARKS.search(line):
+        return line
     line = _SPANS[0].sub(_spaces, line)
     line = _SPANS[1].sub(_spaces, line)
     line = _LINK.sub(lambda m: " " + m[1] + " " * (len(m[0]) - len(m[1]) - 1), line)
@@ -98,6 +103,8 @@ def mask_text(text: str) -> str:
         elif number == 0 and line.strip() == "---":
             front = True
             out.append(line)
+        elif not comment and "<!--" not in line:
+            out.append(mask_line(line))
         else:
             code = _SPANS[0].sub(lambda m: "x" * len(m[0]), line)
             shown, at = list(line), 0
@@ -135,11 +142,13 @@ _NO_ROW = frozenset({"blank", "heading", "fence", "blockquote", "list_item"})
 def role_of(line: str) -> str:
     """As line_role, of one line on its own."""
     bare = line.strip()
+    if not bare:
+        return "blank"
+    if bare[0].isalpha() and bare is line:  # also where it is Chinese
+        return "paragraph"
     for marks, role in ((("```", "~~~"), "fence"), ("#", "heading"), (">", "blockquote"), ("|", "table")):
         if bare.startswith(marks):
             return role
-    if not bare:
-        return "blank"
     if _LIST.match(bare):
         return "list_item"
     return "fence" if line.startswith(("    ", "\t")) else "paragraph"
@@ -155,6 +164,8 @@ def roles(lines: list[str]) -> list[str]:
     """The role of each line. A row with a pipe above a delimiter row begins a table, which goes on while rows have
     pipes and no role of their own; a delimiter row within it begins no other."""
     out = [role_of(x) for x in lines]
+    if not any("|" in x for x in lines):
+        return out
     delimiter = [delimits(x) for x in lines]
     inside = False  # of a table that began with a header
     for i, line in enumerate(lines):
@@ -200,6 +211,123 @@ def layout(text: str) -> Column:
 
 
 TERMINATORS = "。！？!?；;"
+_SENTENCE = re.compile(f"(?<=[{TERMINATORS}])")
+_HEADING = re.compile(r"(#{1,6})(?:[ \t]+(.*))?", re.S)
+_CLOSING = re.compile(r"#+|(.*?)[ \t]+#+", re.S)
+_PROSE = ("paragraph", "list_item", "blockquote")
+
+#: What a scan looks at. line: a prose line, or a table row of which all but the cells is line feeds. sentence: one of a
+#: paragraph or cell. heading: its title, and in `raw` that of the one before it under the same parent. file: how many
+#: lines there are, and the first one. col is where `raw` begins in its line.
+PIECES = "array<struct<kind: string, ln: int, col: int, text: string, raw: string>>"
+
+
+def heading_of(line: str) -> tuple[int, str] | None:
+    """(level, title) of a line, as heading_level and heading_title."""
+    m = _HEADING.fullmatch(line.strip())
+    if not m:
+        return None
+    title = (m[2] or "").strip(" \t")
+    if closed := _CLOSING.fullmatch(title):
+        title = closed[1] or ""
+    return len(m[1]), title.strip()
+
+
+def _sentences(kind_at: tuple[int, int], masked: str, own: str, least: int) -> list[tuple]:
+    """The sentences of more than `least` characters of a text that begins at (line, column)."""
+    (ln, col), out, at = kind_at, [], 0
+    for part in _SENTENCE.split(masked):
+        written = own[at : at + len(part)]
+        at += len(part)
+        bare = written.lstrip()
+        if len(part) > least and bare:
+            lead = written[: len(written) - len(bare)]
+            begun = lead.rfind("\n")
+            out.append(("sentence", ln + lead.count("\n"), len(lead) - begun if begun >= 0 else col + len(lead), part, bare.rstrip()))
+        begun = written.rfind("\n")
+        ln, col = ln + written.count("\n"), len(written) - begun if begun >= 0 else col + len(written)
+    return out
+
+
+def pieces_of(text: str, least: int) -> list[tuple]:
+    raw, masked = text.split("\n"), mask_text(text).split("\n")
+    out: list[tuple] = [("file", len(raw), 1, "", raw[0])]
+    last: dict[int, tuple[int, str]] = {}  # of each level: the line and title of the last heading that has a title
+    smaller = [0] * 8  # of each level: the line of the last heading of that or a smaller level
+    first = None  # line of the paragraph that is open
+    kinds = roles(raw)
+    for i, (line, shown, kind) in enumerate(zip(raw, masked, kinds), 1):
+        if kind in _PROSE:
+            out.append(("line", i, 1, shown, line))
+        elif kind == "table" and shown.strip():
+            row, at = [], 0
+            for col, cell in table_cells(line):
+                text_of = shown[col - 1 : col - 1 + len(cell)]
+                row += ["\n" * (col - 1 - at), text_of]
+                at = col - 1 + len(cell)
+                out += _sentences((i, col), text_of, cell, least)
+            if row:
+                out.append(("line", i, 1, "".join(row) + "\n" * (len(line) - at), line))
+        elif kind == "heading" and shown.strip() and (about := heading_of(line)):
+            level, title = about
+            before = last.get(level)
+            sibling = before[1] if before and before[0] > smaller[level - 1] else ""
+            out.append(("heading", i, 1, title, line))
+            if title:
+                out.append(("sibling", i, max(1, line.find(title) + 1), title, sibling + "\n" + line))
+                last[level] = i, title
+            smaller[level:] = [i] * (8 - level)
+        inside = kind == "paragraph" and line.strip() != ""
+        if inside and first is None:
+            first = i
+        if first is not None and (not inside or i == len(raw)):
+            end = i if inside else i - 1
+            out += _sentences((first, 1), "\n".join(masked[first - 1 : end]), "\n".join(raw[first - 1 : end]), least)
+            first = None
+    return out
+
+
+def pieces(text: str, least: int) -> Column:
+    """What is scanned of a document: the one Python step of a scan. Sentences of at most `least` characters are left out."""
+
+    kinds = {"kind": pa.string(), "ln": pa.int32(), "col": pa.int32(), "text": pa.string(), "raw": pa.string()}
+
+    def run(texts: pa.Array) -> pa.Array:
+        of = [[] if t is None else pieces_of(t, least) for t in texts.to_pylist()]
+        columns = zip(*(p for own in of for p in own)) if any(of) else [[]] * len(kinds)
+        flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
+        return pa.ListArray.from_arrays(pa.array(list(itertools.accumulate(map(len, of), initial=0)), pa.int32()), flat)
+
+    return F.arrow_udf(run, PIECES)(text)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def nothing_gathered() -> Column:
+    """What a fold gathers: numbers in short arrays, so that a long one isn't copied for each of them."""
+    return F.struct(F.array().cast("array<int>").alias("now"), F.array().cast("array<array<int>>").alias("done"))
+
+
+def gathered(acc: Column, n: Column) -> Column:
+    full = F.size(acc["now"]) >= 256
+    return F.struct(
+        F.when(full, F.array(n)).otherwise(F.array_append(acc["now"], n)).alias("now"),
+        F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"),
+    )
+
+
+def all_gathered(acc: Column) -> Column:
+    return F.flatten(F.array_append(acc["done"], acc["now"]))
+
+
+def starts(sizes: Column) -> Column:
+    """How much stands before each item of an array of sizes."""
+    begin = F.struct(F.lit(0).alias("n"), nothing_gathered().alias("out"))
+    step = lambda acc, size: F.struct((acc["n"] + size).alias("n"), gathered(acc["out"], acc["n"]).alias("out"))
+    return F.aggregate(sizes, begin, step, lambda acc: all_gathered(acc["out"]))
 
 
 def sentence_at(line: Column, col: Column) -> Column:

@@ -107,10 +107,67 @@ def longest(profile: str) -> int:
     return PROFILES.get(profile, PROFILES["general"])[2]
 
 
-RULE_KIND = "rule_id string, category string, severity string, semantic boolean, patterns array<string>, guard string, message string, review_hint string"
+RULE_KIND = "rule_id string, seq int, category string, severity string, semantic boolean, patterns array<string>, guard string, message string, review_hint string"
+PROFILE_KIND = "profile string, disabled array<string>, severities map<string,string>, longest int"
+#: Rules of a table that are put into a plan at most.
+MOST_RULES = 10_000
+
+
+def _rows() -> list[tuple]:
+    return [(r, ORDER[r], *(by_id(r)[k] for k in ("category", "severity", "semantic", "patterns", "guard", "message", "review_hint"))) for r in ORDER]
 
 
 def rule_frame(spark):
-    """The rules as a table; a user's rules are rows of the same kind, united with it."""
-    rows = [tuple(by_id(r)[k] for k in ("id", "category", "severity", "semantic", "patterns", "guard", "message", "review_hint")) for r in ORDER]
-    return spark.createDataFrame(rows, RULE_KIND)
+    """The rules as a table; a user's rules are rows of the same kind, united with it. seq is a rule's place among
+    findings of one line and column; rules without one come last."""
+    return spark.createDataFrame(_rows(), RULE_KIND)
+
+
+def profile_frame(spark):
+    """The profiles as a table: disabled rules, severities that differ, the longest sentence."""
+    return spark.createDataFrame([(p, off, changed, most) for p, (off, changed, most) in PROFILES.items()], PROFILE_KIND)
+
+
+class Active(NamedTuple):
+    """An enabled rule under a profile."""
+
+    rule_id: str
+    seq: int
+    category: str
+    severity: str
+    patterns: list[str]
+    guard: str | None
+    message: str
+    review_hint: str
+
+
+def enabled(rules, profiles, profile: str):
+    """Of a table of rules those that a profile of a table of profiles doesn't disable, with their severities under it;
+    an unknown profile counts as general."""
+    from pyspark.sql import functions as F
+
+    mine = profiles.where(F.col("profile").isin(profile, "general")).orderBy(F.col("profile") != profile).limit(1)
+    off = mine.select(F.explode("disabled").alias("rule_id")).distinct()
+    changed = mine.select(F.explode("severities").alias("rule_id", "changed"))
+    rows = rules.join(off, "rule_id", "left_anti").join(changed, "rule_id", "left")
+    return rows.withColumn("severity", F.when(F.col("semantic"), "candidate").otherwise(F.coalesce("changed", "severity"))).drop("changed")
+
+
+def active(profile: str = "general", rules=None, profiles=None) -> tuple[list[Active], int]:
+    """(enabled rules in their order, the longest sentence). Tables of rules and profiles are optional; they are
+    configuration, so they are read into the plan, at most MOST_RULES rows."""
+    if rules is None and profiles is None:
+        off, _, most = PROFILES.get(profile, PROFILES["general"])
+        kept = [r for r in _rows() if r[0] not in off]
+        return [Active(r[0], r[1], r[2], severity(r[0], r[3], r[4], profile), *r[5:]) for r in kept], most
+    spark = (rules if rules is not None else profiles).sparkSession
+    rules, profiles = rules if rules is not None else rule_frame(spark), profiles if profiles is not None else profile_frame(spark)
+    rows = enabled(rules, profiles, profile).limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    if len({r.rule_id for r in rows}) < len(rows):
+        raise ValueError("rule_id isn't unique")
+    rows.sort(key=lambda r: (r.seq is None, r.seq or 0, r.rule_id))
+    found = [Active(r.rule_id, n if r.seq is None else r.seq, r.category, r.severity, r.patterns or [], r.guard, r.message, r.review_hint or "") for n, r in enumerate(rows, 1000)]
+    mine = {r.profile: r.longest for r in profiles.where(profiles["profile"].isin(profile, "general")).collect()}
+    return found, mine.get(profile, mine.get("general", 80))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules
-from ..functions.markdown import TERMINATORS, heading_level, heading_title, hits, layout, line_role, masked, sentence_at, strip
+from ..functions.markdown import TERMINATORS, all_gathered, gathered, heading_level, heading_title, hits, layout, let, line_role, masked, nothing_gathered, pieces, sentence_at, starts, strip
 
 PROSE = ("paragraph", "list_item", "blockquote")
 
@@ -52,18 +55,9 @@ def headings(prose: DataFrame) -> DataFrame:
 
 def heading_gaps(prose: DataFrame) -> DataFrame:
     """Numbered headings that skip a number after their previous sibling."""
-    number = F.regexp_extract("title", r"(?U)\A(\d+(?:\.\d+)*)(?:\.|[、\s]|\z)", 1)
-    rows = headings(prose).where("title <> ''").withColumn("number", number)
+    rows = headings(prose).where("title <> ''").withColumn("number", _number(F.col("title")))
     siblings = Window.partitionBy("doc_id", "parent", "level").orderBy("ln")
-    rows = rows.withColumn("prev", F.lag("number").over(siblings)).where("number <> '' AND prev <> ''")
-    bare = lambda c: F.transform(F.split(c, r"\\."), lambda x: F.regexp_replace(x, r"\A0+(?=.)", ""))
-    rows = rows.withColumns({"a": bare("prev"), "b": bare("number")})
-    same = (F.size("a") == F.size("b")) & (F.slice("a", 1, F.size("a") - 1) == F.slice("b", 1, F.size("b") - 1))
-    x, y = F.element_at("a", -1), F.element_at("b", -1)
-    # numbers of more digits than a decimal has are told apart by length and text; then any greater one is a gap
-    greater = (F.length(y) > F.length(x)) | ((F.length(y) == F.length(x)) & (y > x))
-    gap = F.coalesce(F.try_subtract(y.try_cast("decimal(38,0)"), x.try_cast("decimal(38,0)")) > 1, greater)
-    return rows.where(same & gap)
+    return rows.withColumn("prev", F.lag("number").over(siblings)).where(_skips(F.col("prev"), F.col("number")))
 
 
 def paragraphs(prose: DataFrame) -> DataFrame:
@@ -96,108 +90,144 @@ def laid_out(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "filename", (F.col("i") + 1).alias("ln"), "line.*")
 
 
-def units(rows: DataFrame) -> DataFrame:
-    """What patterns are run on: prose lines and table cells. doc_id, filename, ln, raw, at (what stands before the
-    text in its line), masked, own (the text as written)."""
-    prose = rows.where(F.col("role").isin(*PROSE)).select("doc_id", "filename", "ln", "raw", F.lit(0).alias("at"), "masked", F.col("raw").alias("own"))
-    cells = rows.where("role = 'table'").select("doc_id", "filename", "ln", "raw", F.explode("cells").alias("c"))
-    return prose.unionByName(cells.select("doc_id", "filename", "ln", "raw", (F.col("c.col") - 1).alias("at"), "c.masked", F.col("c.raw").alias("own")))
+_SPECIAL = set(r".^$*+?{}[]\|()")
 
 
-def _prefilter(patterns: list[rules.Pattern]) -> str:
-    """One expression for all patterns; a back-reference is by name there, since groups of others come before it."""
-    return "|".join("(?:" + (r"(?<twice>[一-鿿]{2,8})\k<twice>" if p.rule_id == "D001" else p.pattern) + ")" for p in patterns)
+def _quoted(x: str | int | None) -> str:
+    """A value as a literal of Spark SQL; one parsed expression is built much faster than thousands of columns."""
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "NULL" if x is None else str(x)
 
 
-def pattern_hits(given: DataFrame, patterns: list[rules.Pattern]) -> DataFrame:
-    """Findings of the pattern rules in units. One constant expression finds the texts that hold any pattern; only
-    those meet the pack, and only hits are shuffled."""
-    pack = F.array(*[
-        F.struct(*[F.lit(v).alias(k) for k, v in p._asdict().items() if k != "guard"], F.lit(p.guard).cast("string").alias("guard"), F.lit(not set(p.pattern) & set("([\\")).alias("plain"))
-        for p in patterns
-    ])
-    text = F.col("masked")
-    held = F.filter(pack, lambda p: F.when(p["plain"], F.contains(text, p["pattern"])).otherwise(F.rlike(text, p["pattern"])))
-    rows = given.where(text.rlike(_prefilter(patterns))).withColumn("p", F.explode(held))
-    rows = rows.withColumn("hit", F.explode(hits(text, F.col("p.pattern")))).where(strip(F.col("hit.found")) != "")
-    rows = rows.withColumn("col", F.col("at") + F.col("hit.col"))
-    rest = F.substring(F.col("raw"), F.col("col"), F.length("raw"))
-    rows = rows.where(F.col("p.guard").isNull() | ~F.rlike(rest, F.concat(F.lit(r"\A(?:"), F.col("p.guard"), F.lit(")"))))
-    found = F.substring(F.col("own"), F.col("hit.col"), F.length("hit.found"))
-    best = F.min(F.struct("p.pat_ord", found.alias("found"), "raw")).alias("best")
-    rows = rows.groupBy("doc_id", "filename", "ln", "col", "p.rule_id").agg(best)
-    word = F.when(F.col("rule_id") == "D001", F.expr("substring(best.found, 1, length(best.found) div 2)")).otherwise(F.col("best.found"))
-    return rows.select("doc_id", "filename", "ln", "col", "rule_id", F.col("best.found").alias("found"), sentence_at(F.col("best.raw"), F.col("col")).alias("sentence"), word.alias("w"))
-
-
-def text_blocks(rows: DataFrame) -> DataFrame:
-    """Paragraphs and table cells as texts whose sentences are measured: doc_id, filename, lns (the line numbers),
-    at, masked, own."""
-    prose = rows.where((F.col("role") == "paragraph") & (strip(F.col("raw")) != ""))
-    island = F.col("ln") - F.row_number().over(Window.partitionBy("doc_id", "filename").orderBy("ln"))
-    parts = F.array_sort(F.collect_list(F.struct("ln", "masked", "raw"))).alias("parts")
-    joined = prose.withColumn("island", island).groupBy("doc_id", "filename", "island").agg(parts)
-    joined = joined.select("doc_id", "filename", F.col("parts.ln").alias("lns"), F.lit(0).alias("at"), F.array_join("parts.masked", "\n").alias("masked"), F.array_join("parts.raw", "\n").alias("own"))
-    cells = rows.where("role = 'table'").select("doc_id", "filename", "ln", F.explode("cells").alias("c"))
-    return joined.unionByName(cells.select("doc_id", "filename", F.array("ln").alias("lns"), (F.col("c.col") - 1).alias("at"), "c.masked", F.col("c.raw").alias("own")))
-
-
-def sentence_findings(blocks: DataFrame, most: int) -> DataFrame:
-    """S001: sentences of more than `most` characters, white space and marks of emphasis left out, that are mostly Chinese."""
-    cut = F.split("masked", f"(?<=[{TERMINATORS}])", -1)
-    bare = rf"(?U)[*_`\s\x1c-\x1f]"
-    # a block without a sentence that is long enough goes before anything is placed
-    rows = blocks.where(F.length(F.regexp_replace("masked", bare, "")) > most).select("*", cut.alias("cut"))
-    rows = rows.select("doc_id", "filename", "lns", "at", "own", "cut", F.posexplode("cut").alias("i", "segment"))
-    size = F.length(F.regexp_replace("segment", bare, ""))
-    chinese = F.length(F.regexp_replace("segment", "[^一-鿿]", ""))
-    rows = rows.withColumn("n", size).where((F.col("n") > most) & (chinese >= 0.3 * F.col("n")))
-    # where the sentence stands: what comes before it in the block, then its own white space
-    rows = rows.withColumn("start", F.length(F.array_join(F.slice("cut", F.lit(1), F.col("i")), "")))
-    rows = rows.withColumn("written", F.expr("substring(own, start + 1, length(segment))"))
-    lead = F.length("written") - F.length(F.regexp_replace("written", r"(?U)\A[\s\x1c-\x1f]+", ""))
-    rows = rows.withColumn("before", F.split(F.expr("substring(own, 1, start)"), "\n", -1)).withColumn("lead", lead)
-    before = F.split(F.substring(F.col("own"), F.lit(1), F.col("start") + F.col("lead")), "\n", -1)
-    rows = rows.withColumn("before", before).withColumn("found", strip(F.col("written")))
-    ln, col = F.element_at("lns", F.size("before")), F.length(F.element_at("before", -1)) + 1 + F.col("at")
-    return rows.select("doc_id", "filename", ln.alias("ln"), col.alias("col"), F.lit("S001").alias("rule_id"), "found", F.col("found").alias("sentence"), F.col("n").cast("string").alias("w"))
-
-
-def scan(docs: DataFrame, profile: str = "general") -> DataFrame:
+def _holds(column: str, pattern: str) -> str:
+    return f"{column} RLIKE {_quoted(pattern)}" if set(pattern) & _SPECIAL else f"contains({column}, {_quoted(pattern)})"
+
+
+def _holds_any(column: str, patterns: list[str]) -> Column:
+    """Whether a text holds a hit: plain patterns by search, the others in one expression but for those with a
+    back-reference, whose groups would be others."""
+    alone = [p for p in patterns if not set(p) & _SPECIAL or re.search(r"\\[1-9k]", p)]
+    joined = "|".join(f"(?:{p})" for p in patterns if p not in alone)
+    return F.expr(" OR ".join([*(_holds(column, p) for p in dict.fromkeys(alone)), *([f"{column} RLIKE {_quoted(joined)}"] if joined else [])]) or "false")
+
+
+def line_findings(active: list[rules.Active]) -> Column:
+    """Array of (col, rule: its place in active, found, sentence) of a line with the columns text (masked) and raw.
+
+    Sentences, places where a guard holds and hits are laid out as events in order of their column, and one pass over
+    them keeps the last sentence begun and what was seen at the present column. Every step is linear in the line or
+    sorts its events.
+    """
+    text, raw = F.col("text"), F.col("raw")
+    pack = [(n, m, p) for n, rule in enumerate(active) for m, p in enumerate(rule.patterns)]
+    guards = sorted({r.guard for r in active if r.guard and r.patterns})
+    # events: col, kind (0 sentence, 1 guard, 2 hit), what, order of the pattern, text
+    event = lambda col, kind, what, nth, x: F.struct(col.cast("int").alias("col"), F.lit(kind).alias("kind"), what.cast("int").alias("what"), nth.cast("int").alias("nth"), x.alias("x"))
+    cut = F.split(raw, f"(?<=[{TERMINATORS}])", -1)
+    sentences = F.zip_with(starts(F.transform(cut, lambda x: F.length(x))), cut, lambda n, x: event(n + 1, 0, F.lit(0), F.lit(0), strip(x)))
+    kinds = F.expr("array(" + ", ".join(f"named_struct('p', {_quoted(p)}, 'rule', {n}, 'nth', {m})" for n, m, p in pack) + ")")
+    held = F.array_compact(F.expr("array(" + ", ".join(f"CASE WHEN {_holds('text', p)} THEN {i} END" for i, (_, _, p) in enumerate(pack)) + ")"))
+    found = F.flatten(F.transform(held, lambda i: F.transform(hits(text, F.get(kinds, i)["p"]), lambda h: event(h["col"], 2, F.get(kinds, i)["rule"], F.get(kinds, i)["nth"], h["found"]))))
+    events = [sentences, F.filter(found, lambda e: strip(e["x"]) != "")]
+    for g, guard in enumerate(guards):
+        # a match of no width before which the line is cut: all places where the guard holds, but for the first one
+        before = F.split(raw, f"(?=(?:{guard}))", -1)
+        places = F.slice(starts(F.transform(before, lambda x: F.length(x))), 2, F.greatest(F.size(before) - 1, F.lit(0)))
+        places = F.concat(F.when(raw.rlike(rf"\A(?:{guard})"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), places)
+        events.append(F.when(raw.rlike(guard), F.transform(places, lambda n: event(n + 1, 1, F.lit(-1 - g), F.lit(0), F.lit("")))).otherwise(F.slice(sentences, 1, 0)))
+    events = F.array_sort(F.concat(*events))
+    guard_of = F.lit([-1 - guards.index(r.guard) if r.guard in guards else 0 for r in active])
+    none = F.array().cast("array<int>")
+
+    def step(acc: Column, e: Column) -> Column:
+        """Only numbers are carried along: for each event whether it is a finding."""
+        seen = F.when(acc["at"] == e["col"], acc["seen"]).otherwise(none)
+        # a rule is found once at a place, and not where its guard holds
+        new = (e["kind"] == 2) & ~F.array_contains(seen, e["what"]) & ~F.array_contains(seen, F.get(guard_of, e["what"]))
+        return let(new, lambda new: F.struct(
+            e["col"].alias("at"),
+            F.when((e["kind"] == 1) | new, F.array_append(seen, e["what"])).otherwise(seen).alias("seen"),
+            gathered(acc["out"], new.cast("int")).alias("out"),
+        ))
+
+    begin = F.struct(F.lit(0).alias("at"), none.alias("seen"), nothing_gathered().alias("out"))
+    flags = lambda ev: F.aggregate(ev, begin, step, lambda acc: all_gathered(acc["out"]))
+    kept = lambda ev: F.array_compact(F.zip_with(ev, flags(ev), lambda e, flag: F.when((e["kind"] == 0) | (flag == 1), e)))
+
+    def together(kept: Column) -> Column:
+        """Findings beside the sentences that they follow: each sentence as often as it has findings."""
+        heads = F.array_compact(F.transform(kept, lambda e, i: F.when(e["kind"] == 0, i)))
+        counts = lambda at: F.zip_with(at, F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(kept))), lambda a, b: b - a - 1)
+        texts = F.transform(F.filter(kept, lambda e: e["kind"] == 0), lambda e: e["x"])
+        often = let(heads, lambda at: F.flatten(F.zip_with(texts, counts(at), lambda x, n: F.array_repeat(x, n))))
+        return F.zip_with(F.filter(kept, lambda e: e["kind"] == 2), often, lambda h, x: F.struct(h["col"].alias("col"), h["what"].alias("rule"), h["x"].alias("found"), x.alias("sentence")))
+
+    return let(events, lambda ev: let(kept(ev), together))
+
+
+def _number(title: Column) -> Column:
+    return F.regexp_extract(title, r"(?U)\A(\d+(?:\.\d+)*)(?:\.|[、\s]|\z)", 1)
+
+
+def _skips(prev: Column, number: Column) -> Column:
+    """Whether a heading's number leaves one out after its sibling's."""
+    bare = lambda c: F.transform(F.split(c, r"\."), lambda x: F.regexp_replace(x, r"\A0+(?=.)", ""))
+    a, b = bare(prev), bare(number)
+    same = (F.size(a) == F.size(b)) & (F.slice(a, 1, F.size(a) - 1) == F.slice(b, 1, F.size(b) - 1))
+    x, y = F.element_at(a, -1), F.element_at(b, -1)
+    # numbers of more digits than a decimal has are told apart by length and text; then any greater one is a gap
+    greater = (F.length(y) > F.length(x)) | ((F.length(y) == F.length(x)) & (y > x))
+    return (prev != "") & (number != "") & same & F.coalesce(F.try_subtract(y.try_cast("decimal(38,0)"), x.try_cast("decimal(38,0)")) > 1, greater)
+
+
+def scan(docs: DataFrame, profile: str = "general", rule_table: DataFrame | None = None, profile_table: DataFrame | None = None) -> DataFrame:
     """Every finding of documents (doc_id, filename, text) under a profile: doc_id, filename, ln, col, rule_id,
     category, severity, found, message, sentence, review_hint, seq; ordered_scan() has them in report order.
 
-    One row for each (ln, col, rule). An unknown profile counts as general; a null text has no findings.
+    One Python step lays a document out in pieces; what is found in a piece is an expression over it, so a scan is one
+    pass without a shuffle. rule_table, profile_table: as rules.rule_frame() and profile_frame() give them, with a user's rows.
+    One row for each (ln, col, rule). An unknown profile counts as general; a null text has no findings; repeated
+    rows are documents of their own.
     """
-    off, most = rules.PROFILES.get(profile, rules.PROFILES["general"])[0], rules.longest(profile)
-    rows = laid_out(docs)
-    found = [pattern_hits(units(rows), rules.rule_patterns(profile)), sentence_findings(text_blocks(rows), most)]
-    heads = headings(rows.select("doc_id", "filename", "ln", "raw", "masked", "role"))
-    empty = heads.where("title = ''")
-    found.append(empty.select("doc_id", "filename", "ln", F.lit(1).alias("col"), F.lit("DOC001").alias("rule_id"), F.lit("").alias("found"), strip(F.col("raw")).alias("sentence"), F.lit("").alias("w")))
-    if "DOC002" not in off:
-        gaps = heading_gaps(rows.select("doc_id", "filename", "ln", "raw", "masked", "role"))
-        col = F.greatest(F.lit(1), F.expr("instr(raw, title)"))
-        found.append(gaps.select("doc_id", "filename", "ln", col.alias("col"), F.lit("DOC002").alias("rule_id"), F.lit("").alias("found"), strip(F.col("raw")).alias("sentence"), F.concat_ws("\n", "prev", "number").alias("w")))
-    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    large = docs.where(F.col("filename").endswith("SKILL.md")).withColumn("n_lines", n_lines).where(F.col("n_lines") > rules.MOST_LINES)
-    first = F.element_at(F.split("text", "\n", -1), 1)
-    found.append(large.select("doc_id", "filename", F.lit(1).alias("ln"), F.lit(1).alias("col"), F.lit("A900").alias("rule_id"), F.lit("").alias("found"), sentence_at(first, F.lit(1)).alias("sentence"), F.col("n_lines").cast("string").alias("w")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    about = {r: rules.by_id(r) for r in rules.ORDER}
-    pick = lambda f: F.coalesce(*[F.when(F.col("rule_id") == r, F.lit(f(r))) for r in about])
-    limit = F.when(F.col("rule_id") == "A900", F.lit(str(rules.MOST_LINES))).otherwise(F.lit(str(most)))
-    message = pick(lambda r: rules.MESSAGES[r])
+    active, most = rules.active(profile, rule_table, profile_table)
+    at = {r.rule_id: n for n, r in enumerate(active)}
+    rows = docs.select("doc_id", "filename", F.explode(pieces("text", most)).alias("p")).select("doc_id", "filename", "p.*")
+    text, raw, kind = F.col("text"), F.col("raw"), F.col("kind")
+    one = lambda name, col, found, sentence, w: F.struct(col.cast("int").alias("col"), F.lit(at.get(name)).cast("int").alias("rule"), found.alias("found"), sentence.alias("sentence"), w.alias("w"))
+    empty = F.lit("")
+    ways = []  # (of which pieces, the findings of one)
+    if patterns := [p for r in active for p in r.patterns]:
+        twice = [n for n, r in enumerate(active) if r.rule_id == "D001"]
+        word = lambda f: F.when(f["rule"].isin(twice), F.substring(f["found"], F.lit(1), F.shiftright(F.length(f["found"]), 1))).otherwise(f["found"])
+        # what is masked within a hit is found as it is written
+        found = lambda f: F.when(F.contains(f["found"], F.lit(" ")), F.substring(raw, f["col"], F.length(f["found"]))).otherwise(f["found"])
+        hit = F.transform(line_findings(active), lambda f: F.struct(f["col"].alias("col"), f["rule"].alias("rule"), found(f).alias("found"), f["sentence"].alias("sentence"), word(f).alias("w")))
+        ways.append(((kind == "line") & _holds_any("text", patterns), hit))
+    if "S001" in at:
+        size = F.length(F.regexp_replace(text, r"(?U)[*_`\s\x1c-\x1f]", ""))
+        chinese = F.length(F.regexp_replace(text, "[^一-鿿]", ""))
+        ways.append(((kind == "sentence") & (size > most) & (chinese >= 0.3 * size), F.array(one("S001", F.col("col"), raw, raw, size.cast("string")))))
+    if "DOC001" in at:
+        ways.append(((kind == "heading") & (text == ""), F.array(one("DOC001", F.lit(1), empty, strip(raw), empty))))
+    if "DOC002" in at:
+        prev, number = _number(F.substring_index(raw, "\n", 1)), _number(text)
+        ways.append(((kind == "sibling") & _skips(prev, number), F.array(one("DOC002", F.col("col"), empty, strip(F.element_at(F.split(raw, "\n"), -1)), F.concat_ws("\n", prev, number)))))
+    if "A900" in at:
+        large = (kind == "file") & F.col("filename").endswith("SKILL.md") & (F.col("ln") > rules.MOST_LINES)
+        ways.append((large, F.array(one("A900", F.lit(1), empty, sentence_at(raw, F.lit(1)), F.col("ln").cast("string")))))
+    kept = reduce(lambda a, b: a | b, [c for c, _ in ways], F.lit(False))
+    rows = rows.where(kept).withColumn("f", F.explode(F.coalesce(*[F.when(c, x) for c, x in ways]) if ways else F.array().cast("array<struct<col:int,rule:int,found:string,sentence:string,w:string>>")))
+    rows = rows.select("doc_id", "filename", F.when(kind == "file", 1).otherwise(F.col("ln")).alias("ln"), "f.*")
+    fields = ("rule_id", "category", "severity", "message", "review_hint", "seq")
+    about = F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {_quoted(getattr(r, k))}" for k in fields) + ")" for r in active) + ")")
+    rows = rows.withColumn("r", F.get(about, F.col("rule")))
+    limit = F.when(F.col("r.rule_id") == "A900", F.lit(str(rules.MOST_LINES))).otherwise(F.lit(str(most)))
+    message = F.col("r.message")
     for mark, value in (("{w}", F.col("w")), ("{len}", F.col("w")), ("{max}", limit), ("{prev}", F.split("w", "\n")[0]), ("{curr}", F.element_at(F.split("w", "\n"), -1))):
         message = F.replace(message, F.lit(mark), value)
-    return out.select(
-        "doc_id", "filename", "ln", "col", "rule_id",
-        pick(lambda r: about[r]["category"]).alias("category"), pick(lambda r: rules.severity(r, about[r]["severity"], about[r]["semantic"], profile)).alias("severity"),
-        "found", message.alias("message"), "sentence", pick(lambda r: about[r]["review_hint"]).alias("review_hint"), pick(lambda r: rules.ORDER[r]).alias("seq"),
-    )
+    return rows.select("doc_id", "filename", "ln", "col", "r.rule_id", "r.category", "r.severity", "found", message.alias("message"), "sentence", "r.review_hint", "r.seq")
 
 
-def ordered_scan(docs: DataFrame, profile: str = "general") -> DataFrame:
-    return scan(docs, profile).orderBy("filename", "doc_id", "ln", "col", "seq")
+def ordered_scan(docs: DataFrame, profile: str = "general", rule_table: DataFrame | None = None, profile_table: DataFrame | None = None) -> DataFrame:
+    return scan(docs, profile, rule_table, profile_table).orderBy("filename", "doc_id", "ln", "col", "seq")
