@@ -16,9 +16,15 @@ MOST_BYTES, MOST_TOOLS, ENDS = 4 * 1024 * 1024, 32, ("stop", "tool_calls")
 def summary_preview(content: Column) -> Column:
     """The decoded part of the string `summary` in an answer that may break off anywhere; an unfinished escape waits
     for its rest. '' where there is none yet, or where more than an unfinished end can't be decoded."""
-    shown = F.substring(content, 1, PREVIEW_FROM)
-    value = F.regexp_extract(shown, r'(?s)"summary"\s*:\s*"((?:\\.|[^"\\])*)', 1)
-    whole = F.regexp_extract(value, r'(?s)\A(?:[^\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*', 0)
+    rest = F.regexp_extract(F.substring(content, 1, PREVIEW_FROM), r'(?s)"summary"\s*:\s*"(.*)', 1)
+    # where the string ends: at a quote that isn't escaped, or before a backslash that has nothing after it
+    plain = F.regexp_replace(rest, r"(?s)\\.", "..")
+    end = F.when(F.contains(plain, F.lit('"')), F.instr(plain, '"') - 1).otherwise(F.char_length(plain) - plain.endswith("\\").cast("int"))
+    value = F.substring(rest, F.lit(1), end)
+    # no expression repeats a group here: long texts would be a long way down its recursion
+    tokens = F.regexp_extract_all(value, F.lit(r'(?s)\\u[0-9a-fA-F]{4}|\\["\\/bfnrt]|[^\\\x00-\x1f]+|.'), F.lit(0))
+    bad = F.array_position(F.transform(tokens, lambda t: t.rlike(r"(?s)\A[\\\x00-\x1f]\z")), F.lit(True)).cast("int")
+    whole = F.array_join(F.when(bad > 0, F.slice(tokens, F.lit(1), bad - 1)).otherwise(tokens), "")
     decoded = F.get_json_object(F.concat(F.lit('{"s":"'), whole, F.lit('"}')), "$.s")
     return F.when(F.char_length(value) - F.char_length(whole) > PREVIEW_CUT, "").otherwise(F.coalesce(F.substring(decoded, 1, PREVIEW_CHARS), F.lit("")))
 

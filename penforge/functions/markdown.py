@@ -216,7 +216,7 @@ _HEADING = re.compile(r"(#{1,6})(?:[ \t]+(.*))?", re.S)
 _CLOSING = re.compile(r"#+|(.*?)[ \t]+#+", re.S)
 _PROSE = ("paragraph", "list_item", "blockquote")
 
-#: What a scan looks at. line: a prose line, or a table row of which all but the cells is line feeds. sentence: one of a
+#: What a scan looks at. line: a prose line. row: one of a table, of which all but the cells is line feeds. sentence: one of a
 #: paragraph or cell. heading: its title, and in `raw` that of the one before it under the same parent. file: how many
 #: lines there are, and the first one. col is where `raw` begins in its line.
 PIECES = "array<struct<kind: string, ln: int, col: int, text: string, raw: string>>"
@@ -267,7 +267,7 @@ def pieces_of(text: str, least: int) -> list[tuple]:
                 at = col - 1 + len(cell)
                 out += _sentences((i, col), text_of, cell, least)
             if row:
-                out.append(("line", i, 1, "".join(row) + "\n" * (len(line) - at), line))
+                out.append(("row", i, 1, "".join(row) + "\n" * (len(line) - at), line))
         elif kind == "heading" and shown.strip() and (about := heading_of(line)):
             level, title = about
             before = last.get(level)

@@ -199,11 +199,11 @@ def scan(docs: DataFrame, profile: str = "general", rule_table: DataFrame | None
     ways = []  # (of which pieces, the findings of one)
     if patterns := [p for r in active for p in r.patterns]:
         twice = [n for n, r in enumerate(active) if r.rule_id == "D001"]
-        word = lambda f: F.when(f["rule"].isin(twice), F.substring(f["found"], F.lit(1), F.shiftright(F.length(f["found"]), 1))).otherwise(f["found"])
-        # what is masked within a hit is found as it is written
-        found = lambda f: F.when(F.contains(f["found"], F.lit(" ")), F.substring(raw, f["col"], F.length(f["found"]))).otherwise(f["found"])
+        word = lambda f: F.when(f["rule"].isin(twice), F.substring(f["found"], F.lit(1), F.shiftright(F.length(f["found"]), 1))).otherwise(found(f))
+        # what is masked within a hit is found as it is written in a table, and as it is masked in prose
+        found = lambda f: F.when((kind == "row") & F.contains(f["found"], F.lit(" ")), F.substring(raw, f["col"], F.length(f["found"]))).otherwise(f["found"])
         hit = F.transform(line_findings(active), lambda f: F.struct(f["col"].alias("col"), f["rule"].alias("rule"), found(f).alias("found"), f["sentence"].alias("sentence"), word(f).alias("w")))
-        ways.append(((kind == "line") & _holds_any("text", patterns), hit))
+        ways.append((kind.isin("line", "row") & _holds_any("text", patterns), hit))
     if "S001" in at:
         size = F.length(F.regexp_replace(text, r"(?U)[*_`\s\x1c-\x1f]", ""))
         chinese = F.length(F.regexp_replace(text, "[^一-鿿]", ""))
@@ -216,11 +216,13 @@ def scan(docs: DataFrame, profile: str = "general", rule_table: DataFrame | None
     if "A900" in at:
         large = (kind == "file") & F.col("filename").endswith("SKILL.md") & (F.col("ln") > rules.MOST_LINES)
         ways.append((large, F.array(one("A900", F.lit(1), empty, sentence_at(raw, F.lit(1)), F.col("ln").cast("string")))))
-    kept = reduce(lambda a, b: a | b, [c for c, _ in ways], F.lit(False))
-    rows = rows.where(kept).withColumn("f", F.explode(F.coalesce(*[F.when(c, x) for c, x in ways]) if ways else F.array().cast("array<struct<col:int,rule:int,found:string,sentence:string,w:string>>")))
+    if not ways:
+        ways.append((F.lit(False), F.array(one("", F.lit(1), empty, empty, empty))))
+    kept = reduce(lambda a, b: a | b, [c for c, _ in ways])
+    rows = rows.where(kept).withColumn("f", F.explode(F.coalesce(*[F.when(c, x) for c, x in ways])))
     rows = rows.select("doc_id", "filename", F.when(kind == "file", 1).otherwise(F.col("ln")).alias("ln"), "f.*")
     fields = ("rule_id", "category", "severity", "message", "review_hint", "seq")
-    about = F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {_quoted(getattr(r, k))}" for k in fields) + ")" for r in active) + ")")
+    about = F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {_quoted(getattr(r, k))}" for k in fields) + ")" for r in active or [rules.Active("", 0, "", "", [], None, "", "")]) + ")")
     rows = rows.withColumn("r", F.get(about, F.col("rule")))
     limit = F.when(F.col("r.rule_id") == "A900", F.lit(str(rules.MOST_LINES))).otherwise(F.lit(str(most)))
     message = F.col("r.message")

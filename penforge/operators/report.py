@@ -34,14 +34,19 @@ def exit_code(findings: DataFrame, level: str) -> DataFrame:
     return findings.agg((F.coalesce(F.max(rank), F.lit(-1)) >= RANKS[level]).cast("int").alias("exit_code"))
 
 
-def walked(files: DataFrame, skipped: tuple[str, ...]) -> DataFrame:
-    """The distinct paths that a walk of directories takes: of known suffix, in no skipped or dotted directory."""
-    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+def is_walked(path: Column, skipped: tuple[str, ...]) -> Column:
+    """Whether a walk of directories takes a path: of known suffix, in no skipped or dotted directory."""
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
     known = F.lit(False)
     for suffix in SUFFIXES:
-        known = known | F.col("path").endswith(suffix)
+        known = known | path.endswith(suffix)
     hidden = F.exists(folders, lambda x: x.isin(*skipped) | (x.startswith(".") & ~x.isin(".", "..")))
-    return files.where(known & ~hidden).select("path").distinct()
+    return known & ~hidden
+
+
+def walked(files: DataFrame, skipped: tuple[str, ...]) -> DataFrame:
+    """The distinct paths that a walk of directories takes."""
+    return files.where(is_walked(F.col("path"), skipped)).select("path").distinct()
 
 
 def not_ignored(files: DataFrame, lines: list[str]) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.markdown import starts
+
 #: Decisions, and what counts as a number.
 DECISIONS = ("KEEP", "REWRITE", "VERIFY", "ASK")
 NUMBER = r"(?U)[+\-−]?\d+(?:[.,:/-]\d+)*[%％]?"
@@ -30,6 +33,62 @@ def search(docs: DataFrame, literal: str, most: int) -> DataFrame:
     return rows.withColumn("col", col).where("col > 0").orderBy("doc_id", "ln").limit(most).select("doc_id", "ln", "col")
 
 
+#: Files and bytes that a search looks at, matches that it gives, characters of a snippet and before it.
+SEARCH_FILES, SEARCH_BYTES, SEARCH_RESULTS, SNIPPET, SNIPPET_LEAD = 200, 2 * 1024 * 1024, 30, 500, 150
+_LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def inspected(files: DataFrame, prefix: str = "", most_files: int = SEARCH_FILES, most_bytes: int = SEARCH_BYTES) -> DataFrame:
+    """The files (path, size, content) that a search looks at, in the order of their paths, until one would go beyond a
+    budget; `cut` says whether one did. The first rows of the order are a top-k, so nothing else is sorted."""
+    first = files.where(F.col("path").startswith(prefix)).orderBy("path").limit(most_files + 1)
+    upto = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = first.withColumn("beyond", (F.row_number().over(Window.orderBy("path")) > most_files) | (F.sum("size").over(upto) > most_bytes))
+    rows = rows.withColumn("cut", F.max("beyond").over(Window.partitionBy()))
+    # a sum only grows, so all files after the first that is beyond are beyond, too
+    return rows.where(~F.col("beyond")).drop("beyond")
+
+
+def search_matches(files: DataFrame, literal: str, most: int = 20, prefix: str = "") -> DataFrame:
+    """path, line, col, start_char, end_char, offset, text, snippet_start_char, snippet_end_char: the first place on each
+    line that holds a literal in any case, within the budgets, `most` (1 to 30) at most. content null: can't be read."""
+    if not literal or prefix.startswith("/") or ".." in prefix.split("/"):
+        raise ValueError("no literal, or a path outside the workspace")
+    pattern = "(?iu)" + re.sub(r"([^\w\s])", r"\\\1", literal, flags=re.A) if literal.isascii() else f"(?iu)\\Q{literal}\\E"
+    content = F.col("content")
+    lines, ends = F.split(content, _LINE_ENDS, -1), F.regexp_extract_all(content, F.lit(_LINE_ENDS), F.lit(0))
+    rows = inspected(files, prefix).where(content.rlike(pattern)).select("path", F.arrays_zip(lines.alias("line"), F.concat(ends, F.array(F.lit(""))).alias("end")).alias("all"))
+    rows = rows.withColumn("before", starts(F.transform("all", lambda x: F.length(x["line"]) + F.length(x["end"]))))
+    rows = rows.select("path", F.posexplode(F.arrays_zip(F.col("all.line").alias("line"), F.col("before").alias("begun"))).alias("i", "x")).where(F.col("x.line").rlike(pattern))
+    line = F.col("x.line")
+    rows = rows.orderBy("path", "i").limit(max(1, min(most, SEARCH_RESULTS)))
+    start = F.length(F.get(F.split(line, pattern, 2), 0))
+    rows = rows.withColumn("start_char", start)
+    begin = F.greatest(F.lit(0), F.least(F.col("start_char") - SNIPPET_LEAD, F.length(line) - SNIPPET))
+    end = F.least(F.length(line), begin + SNIPPET)
+    return rows.select(
+        "path", (F.col("i") + 1).alias("line"), (F.col("start_char") + 1).alias("col"), "start_char", (F.col("start_char") + len(literal)).alias("end_char"), (F.col("x.begun") + F.col("start_char")).alias("offset"),
+        F.substring(line, begin + 1, end - begin).alias("text"), begin.alias("snippet_start_char"), end.alias("snippet_end_char"),
+    )
+
+
+def search_summary(files: DataFrame, literal: str, most: int = 20, prefix: str = "") -> DataFrame:
+    """One row: n_matches, truncated, scanned_files, scanned_bytes, skipped_files of a search, which ends in the file
+    that has its last match."""
+    most = max(1, min(most, SEARCH_RESULTS))
+    found = search_matches(files, literal, most, prefix).agg(F.count("*").alias("n_matches"), F.max("path").alias("last"))
+    looked = inspected(files, prefix).join(F.broadcast(found), F.lit(True)).where((F.col("n_matches") < most) | (F.col("path") <= F.col("last")))
+    sums = looked.agg(
+        F.count("content").alias("scanned_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("scanned_bytes"), F.count_if(F.col("content").isNull()).alias("skipped_files"), F.coalesce(F.max("cut"), F.lit(False)).alias("cut"),
+    )
+    one = sums.join(F.broadcast(found), F.lit(True))
+    # a first file beyond the budget leaves nothing to look at, yet the search is cut
+    any_file = files.where(F.col("path").startswith(prefix)).limit(1).agg(F.count("*").alias("some"))
+    one = one.join(F.broadcast(any_file), F.lit(True))
+    truncated = (F.col("n_matches") >= most) | F.col("cut") | (F.col("skipped_files") > 0) | ((F.col("scanned_files") + F.col("skipped_files") == 0) & (F.col("some") > 0))
+    return one.select("n_matches", truncated.alias("truncated"), "scanned_files", "scanned_bytes", "skipped_files")
+
+
 def list_page(pages: DataFrame, part: str, cursor: int, size: int) -> DataFrame:
     """url, place, total_matches of one page of the sorted list; the sort is a top-k, not a whole one."""
     found = pages.where(F.lower("url").contains(part.lower())).select("url", "page_id")

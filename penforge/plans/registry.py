@@ -11,10 +11,10 @@ from ..functions import rules
 from ..operators import blockxml, decisions, lint, outline, report, review
 from ..sources.corpus import ZH_SQL, zh_corpus
 from ..streaming import jobs
-from . import decision_queries, scan_queries, xml_queries
+from . import decision_queries, revision_queries, scan_queries, xml_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scan_queries.QUERIES | decision_queries.QUERIES | xml_queries.QUERIES
-SQL: dict[str, str] = scan_queries.SQL | decision_queries.SQL | xml_queries.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scan_queries.QUERIES | decision_queries.QUERIES | revision_queries.QUERIES | xml_queries.QUERIES
+SQL: dict[str, str] = scan_queries.SQL | decision_queries.SQL | revision_queries.SQL | xml_queries.SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

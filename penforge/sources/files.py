@@ -5,11 +5,19 @@ Everything is columns over the binaryFile source, so paths, sizes and suffixes p
 
 from __future__ import annotations
 
+import codecs
+import fcntl
+import hashlib
+import os
+import tempfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.markdown import newlines, strip
 from ..functions.rules import PROFILES
-from ..operators.report import walked
+from ..operators.report import is_walked
 
 #: Suffixes of a workspace's texts, its limits, folders that no walk enters, and the longest request.
 WORKSPACE_SUFFIXES, MOST_FILES, MOST_BYTES = (".md", ".txt", ".rst", ".markdown", ".mdx"), 2_000, 2 << 20
@@ -30,8 +38,7 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 def read_texts(spark: SparkSession, root: str, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
     """filename, text of what a walk takes, by name. Bytes that aren't UTF-8 fail the job; CR LF and CR are read as LF;
     a byte order mark stays."""
-    found = files(spark, root)
-    taken = found.join(walked(found.select("path"), skipped), "path")
+    taken = files(spark, root).where(is_walked(F.col("path"), skipped))
     return taken.select(F.col("path").alias("filename"), newlines(F.validate_utf8(F.col("content").cast("string"))).alias("text")).orderBy("filename")
 
 
@@ -142,3 +149,53 @@ def payload(text: Column, input_url: Column, hosts: list[str], suffixes: list[st
     error = error.when(F.coalesce(number, F.lit(0)) <= 0, "invalid_response").when(~F.coalesce(same, F.lit(False)), "unresolved_document")
     kept = lambda c: F.when(error.isNull(), c)
     return F.struct(kept(name).alias("document_id"), kept(number).alias("revision"), kept(ref["url"]).alias("url"), kept(F.coalesce(new, old)).alias("xml"), error.alias("error"))
+
+
+def write_checked(path: str, text: str, expected_sha256: str) -> tuple[str | None, str | None]:
+    """(sha256 of the new file, error) of one file that is replaced if its bytes still have a digest.
+
+    Writers of a file wait for each other, so of two that expect the same bytes one wins and the other one finds them
+    changed. A byte order mark stays. The new bytes take the old ones' place at once or not at all. A file that has the
+    new bytes already counts as written, so that a task may run again.
+    """
+    folder, name = os.path.split(path)
+    try:
+        with open(os.path.join(folder, f".{name}.lock"), "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)  # goes with the process that holds it
+            with open(path, "rb") as f:
+                now = f.read()
+            new = (codecs.BOM_UTF8 if now.startswith(codecs.BOM_UTF8) else b"") + text.encode()
+            digest = hashlib.sha256(new).hexdigest()
+            if now == new:
+                return digest, None
+            if hashlib.sha256(now).hexdigest() != expected_sha256:
+                return None, "changed"
+            handle, temporary = tempfile.mkstemp(prefix=f".{name}.", suffix=".tmp", dir=folder)
+            try:
+                with os.fdopen(handle, "wb") as f:
+                    f.write(new)
+                    f.flush()
+                    os.fsync(f.fileno())
+                os.chmod(temporary, os.stat(path).st_mode & 0o777)
+                os.replace(temporary, path)
+            except BaseException:
+                os.unlink(temporary)
+                raise
+            return digest, None
+    except OSError as e:
+        return None, type(e).__name__
+
+
+def overwritten(edits: DataFrame) -> DataFrame:
+    """path, sha256, error of each edit (path, text, expected_sha256, confirmed): unconfirmed, no_text, changed, or the
+    kind of what the file system said. Paths are in a folder that all executors share; edits are written where their
+    rows are, in parallel, and none is written until this is run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = []
+            for path, text, expected, confirmed in zip(*(c.to_pylist() for c in batch.columns)):
+                done.append((path, None, "unconfirmed") if not confirmed else (path, None, "no_text") if text is None else (path, *write_checked(path, text, expected)))
+            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*done)] if done else [pa.array([], pa.string())] * 3, ["path", "sha256", "error"])
+
+    return edits.select("path", "text", "expected_sha256", "confirmed").mapInArrow(run, "path string, sha256 string, error string")
