@@ -7,7 +7,9 @@ aggregating them in order. A bounded store keeps pieces of text met before; it c
 
 A long word is first cut where no token of the vocabulary could ever lie across, and what is left long is contracted
 at all places of its least pair in one round, up to the first one after which another pair would come before: the same
-merges in the same order. So a word of a megabyte takes few rounds.
+merges in the same order. So a word of a megabyte takes few rounds. A huge one goes through the same rounds slice by
+slice, each slice joined to the merge table, until it is small enough for the recursive query: a query never holds more
+than HUGE tokens, whatever the word. Ids are decoded in slices, too.
 
 Defined cases: a null text counts as empty (no ids; the hashes of nothing); repeated rows, null doc_ids and further
 columns give a row each; long texts are handled whole, in batches bounded by characters, not rows.
@@ -35,6 +37,8 @@ BATCH_BYTES, BATCH_IDS = 1_000_000, 300_000
 REMEMBERED = 150_000, 2_000_000
 #: Bytes from which a word is long: it is cut apart, and what stays long is contracted at many places a round.
 LONG = 64
+#: Tokens from which a word is huge, and how many of them a query then gets at once.
+HUGE, SLICE = 300_000, 200_000
 #: Words, and their bytes, in one recursive query; a longer word has one of its own.
 QUERY_WORDS, QUERY_BYTES = 10_000, 400_000
 
@@ -117,10 +121,57 @@ class Codec:
     def _contract(self, words: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, how many each has)."""
         ends = np.cumsum([0, *map(len, words)], dtype=np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.by_byte[np.frombuffer(b"".join(words), np.uint8)]))
+        flat = self.by_byte[np.frombuffer(b"".join(words), np.uint8)]
+        if len(words) == 1 and len(flat) > HUGE:
+            flat = self._shortened(flat)
+            if len(flat) > HUGE:  # no pair is left
+                return flat, np.array([len(flat)])
+            ends = np.array([0, len(flat)], np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         got = self._query("start", pa.table({"word": pa.array(range(len(words)), pa.int32()), "ids": ids}), sql)["ids"].combine_chunks()
         return got.values.to_numpy(), np.diff(got.offsets.to_numpy())
 
+    def _shortened(self, ids: np.ndarray) -> np.ndarray:
+        """The tokens of a huge word after as many rounds as it takes until it isn't huge, or has no pair left."""
+        while len(ids) > HUGE:
+            least = min((m for a in range(0, len(ids) - 1, SLICE) if (m := self._least(ids[a : a + SLICE + 1])) is not None), default=None)
+            if least is None:
+                break
+            ids = self._round(ids, least)
+        return ids
+
+    def _least(self, ids: np.ndarray) -> int | None:
+        pairs = ids[:-1].astype(np.int64) << 32 | ids[1:]
+        return self._query("pairs", pa.table({"pair": pairs}), "SELECT min(merged) AS least FROM pairs JOIN merges USING (pair)")["least"][0].as_py()
+
+    def _round(self, ids: np.ndarray, least: int) -> np.ndarray:
+        """ids with `least` at the places of its pairs, as in a round of LONG_SQL: every other one of a run of overlapping
+        places, up to the first that makes a lesser pair with what stands beside it."""
+        out, kept = ids.copy(), np.ones(len(ids), bool)
+        last, nth, taken = -9, 0, -9  # the last place, its number in its run, the last place that was taken
+        for a in range(0, len(ids) - 1, SLICE):
+            part = ids[a : a + SLICE + 1]
+            rows = pa.table({"pair": part[:-1].astype(np.int64) << 32 | part[1:], "pos": np.arange(a, a + len(part) - 1)})
+            pos = self._query("pairs", rows, f"SELECT pos FROM pairs JOIN merges USING (pair) WHERE merged = {least} ORDER BY pos")["pos"].to_numpy()
+            if not len(pos):
+                continue
+            begins = np.diff(pos, prepend=last) != 1
+            start = np.maximum.accumulate(np.where(begins, np.arange(len(pos)), -1))
+            number = np.where(start < 0, np.arange(len(pos)) + nth + 1, np.arange(len(pos)) - start)
+            last, nth = int(pos[-1]), int(number[-1])
+            pos = pos[number % 2 == 0]
+            if not len(pos):
+                continue
+            beside = np.where(np.diff(pos, prepend=taken) == 2, least, np.where(pos > 0, ids[pos - 1], -1)).astype(np.int64)
+            after = np.where(pos + 2 < len(ids), ids[np.minimum(pos + 2, len(ids) - 1)], -1).astype(np.int64)
+            both = pa.table({"pair": np.concatenate([beside << 32 | least, np.int64(least) << 32 | (after & 0xFFFFFFFF)]), "pos": np.concatenate([pos, pos])})
+            stop = self._query("pairs", both, f"SELECT min(pos) AS stop FROM pairs JOIN merges USING (pair) WHERE merged < {least}")["stop"][0].as_py()
+            pos = pos if stop is None else pos[pos <= stop]
+            out[pos], kept[pos + 1], taken = least, False, int(pos[-1])
+            if stop is not None:
+                break
+        return out[kept]
+
     def _apart(self, word: bytes) -> list[bytes]:
         """A word cut where no token can lie across: one that did would be those two bytes, or hold a third beside them."""
         x = np.frombuffer(word, np.uint8).astype(np.int32)
@@ -176,6 +227,10 @@ class Codec:
         """The bytes of each list of ids."""
         out, ends = [b""] * len(ids), ids.offsets.to_numpy().astype(np.int64)
         lens = np.diff(ends)
+        if len(ids) == 1 and lens[0] > BATCH_IDS:
+            cuts = pa.array([*range(ends[0], ends[1], BATCH_IDS), ends[1]], pa.int32())
+            some = pa.ListArray.from_arrays(cuts, ids.values)
+            return [b"".join(self.decode(some[i : i + 1])[0] for i in range(len(some)))]
         if not lens.sum():
             return out
         rows = pa.table({"doc": np.repeat(np.arange(len(ids)), lens), "pos": np.arange(ends[-1] - ends[0]), "id": ids.flatten().cast(pa.int64())})
