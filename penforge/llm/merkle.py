@@ -153,7 +153,9 @@ def manifest(docs: DataFrame, tampered: Column, levels: int = BLOCK_LEVELS) -> D
     changed = F.when(F.coalesce(tampered, F.lit(False)) & F.col("n_chars").isNotNull(), leaf(F.col("n_chars") + 1))
     # a null language has the empty key, any other one begins with +
     key = F.coalesce(F.concat(F.lit("+"), F.col("lang")), F.lit(""))
-    leaves = stored(numbered(docs.select(key.alias("key"), "doc_id", leaf().alias("h"), changed.alias("changed")), "key", "doc_id", "h"), "merkle-leaves")
+    # texts are read and hashed once: the range sort looks at its rows twice
+    hashed = stored(docs.select(key.alias("key"), "doc_id", leaf().alias("h"), changed.alias("changed")), "merkle-hashed")
+    leaves = stored(numbered(hashed, "key", "doc_id", "h"), "merkle-leaves")
     low = tiers(leaves, levels)
     # the languages' tree: one group, whose nodes are the subroots
     langs = stored(numbered(low[-1].select(F.lit("").alias("key"), F.col("key").alias("of"), "h"), "key", "of"), "merkle-langs")
