@@ -127,9 +127,11 @@ def md_table_cells(spark, sf_dir):
     return rows.select("doc_id", "ln", "c.col", F.col("c.raw").alias("cell"))
 
 
-@query("rule_table", "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(r)}, {_quoted(rules.by_id(r)['category'])}, {_quoted(rules.by_id(r)['severity'])}, {rules.by_id(r)['semantic']}, {len(rules.by_id(r)['patterns'])})" for r in rules.ORDER) + ") t(rule_id, category, severity, semantic, n_patterns)")
+@query("rule_table", f"WITH n AS (SELECT rule_id, count(*) AS n FROM ({_ALL}) GROUP BY rule_id) SELECT t.*, coalesce(n, 0) AS n_findings FROM (VALUES " + ", ".join(f"({_quoted(r)}, {_quoted(rules.by_id(r)['category'])}, {_quoted(rules.by_id(r)['severity'])}, {rules.by_id(r)['semantic']}, {len(rules.by_id(r)['patterns'])})" for r in rules.ORDER) + ") t(rule_id, category, severity, semantic, n_patterns) LEFT JOIN n USING (rule_id)")
 def rule_table(spark, sf_dir):
-    return rules.rule_frame(spark).select("rule_id", "category", "severity", "semantic", F.size("patterns").alias("n_patterns"))
+    counts = lint.scan(md_corpus(spark, sf_dir), "product").groupBy("rule_id").agg(F.count("*").alias("n"))
+    known = rules.rule_frame(spark).select("rule_id", "category", "severity", "semantic", F.size("patterns").alias("n_patterns"))
+    return known.join(counts, "rule_id", "left").select(*known.columns, F.coalesce("n", F.lit(0)).alias("n_findings"))
 
 
 @query("newline_reading", "SELECT doc_id, replace(replace(concat(replace(text, chr(10), chr(13) || chr(10)), chr(13), 'x'), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents")
