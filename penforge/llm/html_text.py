@@ -6,9 +6,10 @@ itself calls the article (article, main) is kept even where pages repeat it, sin
 boilerplate, and what it calls navigation, header, footer, aside, form, advert, notice or comment goes at once, an
 article within an article or named as a comment with it. What is between goes where the article is the bulk of the page,
 at least half of the words that are left; elsewhere the suffix array decides on it, and covered runs are cut out while
-the unique runs around them stay. A page without an article or main element is wholly in between. A page of
-COPY_WORDS or more that is covered but for a tenth is a copy of other pages and stays as it is. Inside an article class names
-rule out containers only, by whole names; a form around an article doesn't rule it out.
+the unique runs around them stay. A page without an article or main element is wholly in between. A page with
+no words of its own is a copy of other pages and stays as it is; from any other page the recurring runs go, whatever
+their share of it. Inside an article class names rule out containers only, by whole names; a form around an article
+doesn't rule it out.
 
 A host's pages are dealt by hash into groups of about GROUP_PAGES, so that a host with a third of all pages is many
 tasks. A group bounds the suffix array only: the distinct pages of every run are summed over the groups of a host, by a
@@ -36,8 +37,6 @@ from .common import read_table, released, stored
 #: Words of a long run, and the distinct pages on which it has to stand.
 RUN_WORDS, RUN_PAGES = 8, 3
 GROUP_PAGES = 256
-#: A page of so many words, with so large a share of them in recurring runs, is a copy rather than framed text.
-COPY_WORDS, COPY_SHARE = 50, 0.9
 #: Groups whose runs are summed in one task.
 BUCKET_GROUPS = 32
 #: A host with at least this share of all pages is split behind a broadcast of its name: there can be at most 1/share.
@@ -93,7 +92,8 @@ def is_dropped(name: str, attributes: str, in_main: bool, in_article: bool) -> b
 def blocks(html: str) -> list[tuple[int, str]]:
     """(MAIN or BETWEEN, text) of each block that the markup doesn't rule out, in page order."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, bool]] = []  # name, dropped (FORM: for a form alone), in main
+    stack: list[tuple[str, int, bool, int]] = []  # name, dropped (FORM: for a form alone), in main, place of the nearest block element
+    places: dict[str, list[int]] = {}  # of each name, where the stack holds it
     line: list[str] = []
     dropped, in_main = 0, False
 
@@ -105,11 +105,11 @@ def blocks(html: str) -> list[tuple[int, str]]:
 
     def pop():
         nonlocal dropped, in_main
-        stack.pop()
-        _, dropped, in_main = stack[-1] if stack else ("", 0, False)
+        places[stack.pop()[0]].pop()
+        _, dropped, in_main, _ = stack[-1] if stack else ("", 0, False, -1)
 
     def end_head():
-        while stack and any(x[0] == "head" for x in stack):
+        while places.get("head"):
             pop()
 
     at = 0
@@ -129,26 +129,21 @@ def blocks(html: str) -> list[tuple[int, str]]:
         if name not in INLINE:
             end_block()
         if m[2]:
-            if any(s[0] == name for s in stack):
-                # an inline end tag doesn't close blocks around it
-                if name in INLINE and (open_ := next(s[0] for s in reversed(stack) if s[0] not in INLINE or s[0] == name)) != name:
-                    continue
-                while stack[-1][0] != name:
+            # an inline end tag doesn't close blocks around it
+            if places.get(name) and (name not in INLINE or places[name][-1] > stack[-1][3]):
+                i = places[name][-1]
+                while len(stack) > i:
                     pop()
-                pop()
             continue
         if name in VOID or m[4].endswith("/") and name not in DROPPED:
             if name not in IN_HEAD and stack and stack[-1][0] == "head":
                 end_head()
             continue
         if name in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+            i = stack[-1][3] if stack else -1
+            if i >= 0 and stack[i][0] == "p":
+                while len(stack) > i:
+                    pop()
         elif name in ("li", "td", "th", "tr", "dt", "dd", "option"):
             if stack and stack[-1][0] == name:
                 pop()
@@ -156,10 +151,11 @@ def blocks(html: str) -> list[tuple[int, str]]:
             end_head()
         if dropped == FORM and name in ("article", "main"):  # a form around a page
             dropped = 0
-        if dropped != GONE and is_dropped(name, m[4], in_main, name == "article" and any(s[0] == name for s in stack)):
+        if dropped != GONE and is_dropped(name, m[4], in_main, name == "article" and bool(places.get(name))):
             dropped = FORM if name == "form" else GONE
         in_main = in_main or name in ("article", "main")
-        stack.append((name, dropped, in_main))
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, dropped, in_main, len(stack) if name not in INLINE else stack[-1][3] if stack else -1))
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             if not dropped:
@@ -318,7 +314,7 @@ def extract(pages: DataFrame, run_words: int = RUN_WORDS, run_pages: int = RUN_P
         texts = []
         for page, flag in zip(found, flags):
             mixed = is_open([(b["part"], b["text"].count(" ") + 1) for b in page])
-            if len(flag) >= COPY_WORDS and flag.mean() >= COPY_SHARE:
+            if flag.all():
                 flag[:] = False
             at, kept = 0, []
             for b in page:

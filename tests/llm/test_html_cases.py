@@ -1,6 +1,7 @@
 """Cases of the main-text operator: losses that names, heads and forms caused, copies of pages, articles without tags."""
 
 import re
+import time
 
 import pyarrow.parquet as pq
 
@@ -36,6 +37,34 @@ def test_copies_without_article_tags_stay(spark):
     assert got[20] == ("", 0) and got[21] == ("no address", 10)
 
 
+def test_menus_of_any_length_go(spark):
+    """A menu goes however large its share of a page; a page without words of its own stays."""
+    rows, want = [], {}
+    for n in (10, 30, 60, 120, 500):
+        menu = " ".join(f"m{n}x{j}" for j in range(n))
+        for i in range(5):
+            want[n * 10 + i] = " ".join(f"own{n}x{i}x{j}" for j in range(5))
+            rows.append((n * 10 + i, f"http://h{n}/", f"<div>{menu}</div><div>{want[n * 10 + i]}</div>"))
+            want[n * 10 + 5 + i] = f"{menu} copied"
+            rows.append((n * 10 + 5 + i, f"http://c{n}/", f"<div>{menu} copied</div>"))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_long_pages_of_odd_tags_are_linear():
+    n = 20_000
+    for page in ("<div>" * n + "</p>" * n, "<b><div>" + "<b>" * n + "</i>" * n, "<b>" * n + "<div></div>" * n, "<head>" * n + "x", "<article>" * n + "x", "<i><div>" + "<b>" * n + "</i>" * n):
+        start = time.perf_counter()
+        words_of(page)
+        assert time.perf_counter() - start < 3
+
+
+def test_a_very_long_page():
+    words = [f"w{i}" for i in range(300_000)]
+    page = "<nav>menu</nav><article>" + "".join(f"<p>{' '.join(words[i : i + 50])}</p>" for i in range(0, len(words), 50)) + "</article>"
+    assert " ".join(t for _, t in words_of(page)) == " ".join(words)
+
+
 def test_supplied_pages_equal_their_article():
     for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
         own = re.search(r"<article.*?>(.*?)</article>", page, re.S)[1]
