@@ -2,7 +2,9 @@
 
 Every record scores every shard with -ln(u) / weight, u a hash of key and shard in (0, 1); the least score wins. A
 further shard only takes records for which it scores least, so no record moves between older shards. Slots are dealt
-in two levels: a number within a block of the shard, plus the sizes of the shard's earlier blocks.
+in two levels: a number within a block of the shard, plus the sizes of the shard's earlier blocks. Rows that agree in
+id, size and checksum are counted before they are shuffled, dealt in chunks and spread out again at the end, so slots
+depend on the rows alone, not on files or partitions, and a row that repeats without bound is still many blocks.
 
 Defined cases: a null key hashes as the empty string; repeated rows share a shard and get different slots; a null
 text has size 1 and checksum 0; empty input gives no rows; further columns are not read.
@@ -18,6 +20,8 @@ from .common import read_table, stored
 
 #: Rows that one block of slots holds on average.
 BLOCK_ROWS = 20_000
+#: Repeats of a row that share a block.
+CHUNK_ROWS = 4_096
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -30,28 +34,30 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return F.array_min(F.array(*scored))["shard"]
 
 
-def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    chunks = rows.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (copies - 1) div {chunk_rows})")))
+    chunks = chunks.select(
+        "doc_id", "size", "text_crc32", "chunk", F.least(F.lit(chunk_rows), F.col("copies") - F.col("chunk") * chunk_rows).alias("n"),
         rendezvous(F.col("doc_id"), weights).alias("shard"),
         (rendezvous(F.col("doc_id"), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.monotonically_increasing_id().alias("row_no"),
-    )
-    out = stored(out, "sharded")
-    blocks = max(1, -(-out.count() // block_rows))
-    out = out.withColumn("block", F.pmod(F.xxhash64("row_no"), F.lit(blocks)).cast("int"))
-    sizes = out.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    )
+    chunks = stored(chunks, "sharded")
+    blocks = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // block_rows))
+    chunks = chunks.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "chunk"), F.lit(blocks)).cast("int"))
+    sizes = chunks.groupBy("shard", "block").agg(F.sum("n").alias("n"))
     # one row for each shard and block: the running sum is over at most `blocks` rows of a shard
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "row_no"))
-    return out.withColumn("inside", inside).join(starts, ["shard", "block"]).select(
+    earlier = Window.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = chunks.withColumn("inside", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(starts, ["shard", "block"])
+    first = F.col("start") + F.col("inside")
+    return dealt.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("start") + F.col("inside") - 1).cast("long").alias("slot"), "grown_shard",
+        F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"), "grown_shard",
     )
 
 
