@@ -136,9 +136,23 @@ def global_offsets(decisions: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def json_string(text: Column) -> Column:
+    """A text as a JSON string, null as null; of escaped control characters the hex digits are small."""
+    quoted = F.regexp_replace(F.to_json(F.array(text)), r"(?s)\A\[(.*)\]\z", "$1")
+
+    def small(part: Column) -> Column:
+        for digit in "ABCDEF":
+            part = F.regexp_replace(part, rf"\\u00([01]){digit}", rf"\\u00$1{digit.lower()}")
+        return part
+
+    # between escaped backslashes, a backslash begins an escape
+    fixed = F.array_join(F.transform(F.split(quoted, r"\\\\", -1), small), "\\\\")
+    return F.when(quoted.rlike(r"\\u00[01][A-F]"), fixed).otherwise(quoted)
+
+
 def decision_id(finding_id: Column, at: Column, rule: Column, before: Column, after: Column) -> Column:
     """static-N, or semantic-place-hash of a JSON list of rule, before and after."""
-    quoted = [F.regexp_replace(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", "$1") for c in (rule, before, after)]
+    quoted = [json_string(c) for c in (rule, before, after)]
     digest = F.substring(F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *quoted), F.lit("]")), 256), 1, 16)
     return F.when(finding_id.isNotNull(), F.concat(F.lit("static-"), finding_id.cast("string"))).otherwise(F.concat(F.lit("semantic-"), at.cast("string"), F.lit("-"), digest))
 

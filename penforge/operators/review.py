@@ -168,17 +168,3 @@ def segments(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "seg_no", "start", "end_", "context_start", "context_end"])
 
     return docs.select("doc_id", "text", given.alias("offsets")).mapInPandas(run, "doc_id long, seg_no int, start int, end_ int, context_start int, context_end int")
-
-
-def accepted_rewrites(spans: DataFrame) -> DataFrame:
-    """Each decision, by place, is accepted unless it overlaps the last accepted one of its document: doc_id,
-    decision_id, accepted. A document's decisions are folded within its row."""
-    ordered = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end_", "decision_id"))).alias("all"))
-    begin = F.struct(F.lit(-1).alias("upto"), F.array().cast("array<struct<decision_id:string,accepted:boolean>>").alias("out"))
-
-    def step(acc, d):
-        ok = d["start"] >= acc["upto"]
-        return F.struct(F.when(ok, d["end_"]).otherwise(acc["upto"]).alias("upto"), F.array_append(acc["out"], F.struct(d["decision_id"].alias("decision_id"), ok.alias("accepted"))).alias("out"))
-
-    folded = ordered.select("doc_id", F.explode(F.aggregate("all", begin, step, lambda acc: acc["out"])).alias("d"))
-    return folded.select("doc_id", "d.decision_id", "d.accepted")

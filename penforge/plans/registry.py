@@ -11,10 +11,10 @@ from ..functions import rules
 from ..operators import blockxml, decisions, lint, outline, report, review
 from ..sources.corpus import ZH_SQL, zh_corpus
 from ..streaming import jobs
-from . import decision_queries, revision_queries, scan_queries, xml_queries
+from . import decision_queries, revision_queries, scan_queries, session_queries, xml_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scan_queries.QUERIES | decision_queries.QUERIES | revision_queries.QUERIES | xml_queries.QUERIES
-SQL: dict[str, str] = scan_queries.SQL | decision_queries.SQL | revision_queries.SQL | xml_queries.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = scan_queries.QUERIES | decision_queries.QUERIES | revision_queries.QUERIES | session_queries.QUERIES | xml_queries.QUERIES
+SQL: dict[str, str] = scan_queries.SQL | decision_queries.SQL | revision_queries.SQL | session_queries.SQL | xml_queries.SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -261,13 +261,6 @@ def doc_segments(spark, sf_dir):
     return review.segments(table(spark, sf_dir, "documents"))
 
 
-@query("rewrite_conflicts")
-def rewrite_conflicts(spark, sf_dir):
-    found = QUERIES["lint_findings_general"](spark, sf_dir)
-    spans = found.select("doc_id", F.concat_ws("-", "rule_id", "ln", "col").alias("decision_id"), (F.col("ln") * 1000 + F.col("col")).alias("start"), (F.col("ln") * 1000 + F.col("col") + F.length("found")).alias("end_"))
-    return review.accepted_rewrites(spans)
-
-
 # --- reports, files, sections, block XML, decision algebra, streams --------------------------------------------------
 
 

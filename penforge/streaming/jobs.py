@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 PARTS = "user_id long, request long, first_event long, last_event long, n_events long"
 
 
-def _folder(spark: SparkSession, tag: str) -> str:
+def shared_folder(spark: SparkSession, tag: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -48,7 +48,7 @@ def request_parts(events: DataFrame) -> DataFrame:
 
 def run_to_end(stream: DataFrame, tag: str) -> DataFrame:
     """What is there now, written once through a checkpoint that survives lost executors, and read back."""
-    spark, out = stream.sparkSession, _folder(stream.sparkSession, tag)
+    spark, out = stream.sparkSession, shared_folder(stream.sparkSession, tag)
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
