@@ -35,6 +35,8 @@ BATCH_BYTES, BUCKET_POSTINGS, PART_POSTINGS = 1_000_000, 500_000, 500_000
 HEAVY, MOST_HEAVY = 50, 4_000_000
 #: Candidates that one block of a query holds, by their number and their shingles.
 BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
+#: Pairs that one part of the lists holds before they leave its task.
+PAIRS = 500_000
 #: As many ids of wanted documents are broadcast; more are joined by shuffle.
 WANTED = 1_000_000
 
@@ -265,12 +267,14 @@ def _several_classes(table: pa.Table) -> pa.Table:
 def _cross(percent: int):
     kind = pa.schema([("q", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("votes", pa.int32())])
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of one part of the lists, the pairs of different classes that can still reach the overlap of their prefixes.
 
         q, c: the smaller and the larger set, n and m their sizes, votes the lists of this part that they share.
         most is on how many lists of all parts a set stands; what stands outside this part is granted to the pair.
+        Pairs grow with the square of a list's length, so they leave in batches of about PAIRS.
         """
+        table = pa.Table.from_batches(list(batches))
         key, rec, n, cls, most = (table[c].to_numpy() for c in ("list", "rec", "n", "cls", "most"))
         order = np.lexsort((rec, n))
         key, rec, n, cls, most = key[order], rec[order], n[order], cls[order], most[order]
@@ -286,6 +290,14 @@ def _cross(percent: int):
         end = cuts[np.searchsorted(cuts, where, side="right")]
         largest = np.searchsorted(sizes, 100 * sizes // percent, side="right")
         found: list[list[np.ndarray]] = [[], [], []]
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            x, y, votes = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+            for f in found:
+                f.clear()
+            return pa.record_batch([recs[x], recs[y], sizes[x].astype(np.int32), sizes[y].astype(np.int32), votes.astype(np.int32)], schema=kind)
+
         bounds = [*at.tolist(), len(key)]
         for x in range(len(recs)):
             a, b = bounds[x], bounds[x + 1]
@@ -298,8 +310,11 @@ def _cross(percent: int):
                 if can.any():
                     for to, values in zip(found, (np.full(int(can.sum()), x), y[can], votes[can])):
                         to.append(values)
-        x, y, votes = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
-        return pa.table([recs[x], recs[y], sizes[x].astype(np.int32), sizes[y].astype(np.int32), votes.astype(np.int32)], schema=kind)
+                    held += int(can.sum())
+                    if held >= PAIRS:
+                        yield batch()
+                        held = 0
+        yield batch()
 
     return run
 
