@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,8 +96,21 @@ _LINE = regex.compile(r"[^\n]*\n|[^\n]+\Z")
 
 
 def shortest_edits(a: list[str], b: list[str]) -> list[Part] | None:
-    """The greedy O(ND) search: furthest[k] is how far in `a` the paths of d edits get on diagonal k, and each round is
-    kept, so that the path can be walked back. None where it takes more edits or steps than allowed."""
+    """The path of the greedy O(ND) search. None where it takes more edits or steps than allowed.
+
+    d edits cost d * d / 2 steps at least, and what the two don't have in common must all be edited. So a search that is
+    bound to give up isn't begun, and where a table of all places is smaller than the search, it gives the same path."""
+    least = len(a) + len(b) - 2 * sum((Counter(a) & Counter(b)).values())
+    if least > MOST_EDITS:
+        return None
+    cells = len(a) * len(b)
+    small = cells < least * least // 2 and cells + (MOST_EDITS + 1) * (MOST_EDITS + 2) // 2 <= MOST_STEPS
+    return _edits_by_table(a, b) if small else _edits_by_rounds(a, b)
+
+
+def _edits_by_rounds(a: list[str], b: list[str]) -> list[Part] | None:
+    """furthest[k] is how far in `a` the paths of d edits get on diagonal k, and each round is kept, so that the path can
+    be walked back."""
     furthest, rounds, steps = {1: 0}, [], 0
     for d in range(min(len(a) + len(b), MOST_EDITS) + 1):
         rounds.append(dict(furthest))
@@ -115,6 +129,45 @@ def shortest_edits(a: list[str], b: list[str]) -> list[Part] | None:
     return None
 
 
+def _edits_by_table(a: list[str], b: list[str]) -> list[Part] | None:
+    """The path of the greedy search from the edits that each place (x, y) takes. How far in `a` d edits get on a
+    diagonal is its last place with at most d; no place of the path looks at one outside the table."""
+    table = [list(range(len(b) + 1))]
+    for n, item in enumerate(a, 1):
+        above, row, left = table[-1], [n], n
+        for y, other in enumerate(b):
+            left = above[y] if item == other else 1 + min(left, above[y + 1])
+            row.append(left)
+        table.append(row)
+    x, y = len(a), len(b)
+    if table[x][y] > MOST_EDITS:
+        return None
+
+    def furthest(x: int, y: int, d: int) -> int:
+        """Of the places up to (x, y) on its diagonal, the last one that d edits reach."""
+        while x >= 0 and y >= 0 and table[x][y] > d:
+            x, y = x - 1, y - 1
+        return x if y >= 0 else -1
+
+    out: list[Part] = []
+    for d in range(table[x][y], 0, -1):
+        k = x - y
+        near = {k - 1: furthest(x - 1, y, d - 1), k + 1: furthest(x, y - 1, d - 1)}
+        insert = _inserts(near, k, d)
+        to_x = near[k + 1 if insert else k - 1]
+        run = min(x - to_x, y - (to_x - (k + 1 if insert else k - 1)))
+        out += [("equal", t) for t in reversed(a[x - run : x])]
+        x, y = x - run, y - run
+        if insert:
+            y -= 1
+            out.append(("insert", b[y]))
+        else:
+            x -= 1
+            out.append(("delete", a[x]))
+    out += [("equal", t) for t in reversed(a[:x])]
+    return out[::-1]
+
+
 def _inserts(furthest: dict[int, int], k: int, d: int) -> bool:
     """Whether the d-th edit on the way to diagonal k is an insertion; of equal ways the deletion is taken."""
     return k == -d or k != d and furthest[k - 1] < furthest[k + 1]

@@ -116,3 +116,16 @@ def test_revision_diff_of_a_table(spark):
     assert [(r.id, r.kind, r.old_line, r.new_line) for r in got] == [(1, "equal", 1, 1), (1, "delete", 2, None), (1, "insert", None, 2), (1, "equal", 3, 3), (1, "insert", None, 4), (3, "delete", 1, None)]
     assert [tuple(p) for p in got[1].parts] == [("delete", "old"), ("equal", " 中 line")]
     assert revision.revision_diff(spark.createDataFrame([], "id long, before string, after string"), "id").count() == 0
+
+
+def test_a_search_that_gives_up_is_not_begun_and_a_small_table_gives_the_same_path(monkeypatch):
+    asked = []
+    inserts = revision._inserts
+    monkeypatch.setattr(revision, "_inserts", lambda *x: asked.append(1) or inserts(*x))
+    line = [chr(0x4E00 + i) for i in range(400)]
+    assert revision.shortest_edits(line, list("-- first --\n")) is None and not asked
+    assert len(revision.shortest_edits(line[:200], list("-- first --\n"))) == 212 and len(asked) == 212
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 12, 60]))] for alphabet in ("abc", rng.choice(["abc", "cdefgh"])))
+        assert revision._edits_by_table(a, b) == revision._edits_by_rounds(a, b)
