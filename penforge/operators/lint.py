@@ -86,8 +86,7 @@ def lint(docs: DataFrame, profile: str = "general", only: str | None = None, mas
 
 def laid_out(docs: DataFrame) -> DataFrame:
     """doc_id, filename, ln, raw, masked, role, cells, in context; one Python step, no shuffle."""
-    rows = docs.select("doc_id", "filename", F.posexplode(layout("text")).alias("i", "line"))
-    return rows.select("doc_id", "filename", (F.col("i") + 1).alias("ln"), "line.*")
+    return layout(docs, "doc_id", "filename")
 
 
 _SPECIAL = set(r".^$*+?{}[]\|()")
@@ -192,7 +191,7 @@ def scan(docs: DataFrame, profile: str = "general", rule_table: DataFrame | None
     """
     active, most = rules.active(profile, rule_table, profile_table)
     at = {r.rule_id: n for n, r in enumerate(active)}
-    rows = docs.select("doc_id", "filename", F.explode(pieces("text", most)).alias("p")).select("doc_id", "filename", "p.*")
+    rows = pieces(docs, "doc_id", "filename", least=most)
     text, raw, kind = F.col("text"), F.col("raw"), F.col("kind")
     one = lambda name, col, found, sentence, w: F.struct(col.cast("int").alias("col"), F.lit(at.get(name)).cast("int").alias("rule"), found.alias("found"), sentence.alias("sentence"), w.alias("w"))
     empty = F.lit("")

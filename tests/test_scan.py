@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from penforge.functions import markdown
 from penforge.functions.markdown import layout_of, roles, table_cells
 from penforge.operators import lint, report
 from penforge.plans.scan_queries import QUERIES
@@ -78,3 +79,17 @@ def test_edge_texts(spark):
     assert report.summary(lint.scan(docs(spark, "x"))).collect()[0].summary == "✅ 未发现坏味"
     text = "`a` [b](c) <!-- d\n--> e\n| f `|` g | h |\n|---|---|\n"
     assert all(len(x["raw"]) == len(x["masked"]) for x in layout_of(text))
+
+
+def test_lines_of_many_documents_leave_a_task_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(markdown, "ROWS", 7)
+    docs = spark.createDataFrame([(n, f"{n}.md", None if n == 3 else "\n".join("行" * (n + 1))) for n in range(12)], "doc_id long, filename string, text string")
+    taken = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, kind, *more: taken.update(run=run, kind=kind) or self)
+    markdown.layout(docs, "doc_id", "filename")
+    batch = markdown.pa.record_batch([[n for n in range(12)], [f"{n}.md" for n in range(12)], [None if n == 3 else "\n".join("行" * (n + 1)) for n in range(12)]], ["doc_id", "filename", "text"])
+    out = list(taken["run"](iter([batch])))
+    sizes = [b.num_rows for b in out]
+    assert max(sizes) == 7 and sum(sizes) == sum(n + 1 for n in range(12) if n != 3)
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc_id"], r["ln"]) for r in rows] == [(n, i) for n in range(12) if n != 3 for i in range(1, n + 2)]
