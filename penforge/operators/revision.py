@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -20,11 +20,15 @@ RADIUS = 70
 # --- minimal patches ---------------------------------------------------------------------------------------------------
 
 
-def _alike(a: Column, b: Column, most: Column) -> Column:
-    """How many items two arrays of characters have in common from the start, at most `most`."""
-    differ = F.zip_with(F.slice(a, F.lit(1), most), F.slice(b, F.lit(1), most), lambda x, y: x != y)
-    first = F.array_position(differ, F.lit(True)).cast("int")
-    return F.when(first > 0, first - 1).otherwise(most)
+#: Enough for a text of any length.
+_STEPS = [1 << k for k in range(30, -1, -1)]
+
+
+def _alike(piece: Callable[[str, Column, Column], Column], most: Column) -> Column:
+    """How many characters, at most `most`, two texts have in common from one side: what is alike grows by the longest
+    steps first. piece(text, n, m) are the m characters after n from that side."""
+    longer = lambda n, m: F.when((m <= most - n) & (piece("b", n, m) == piece("a", n, m)), n + m).otherwise(n)
+    return F.aggregate(F.lit(_STEPS), F.lit(0), longer)
 
 
 def minimal_patches(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -32,14 +36,12 @@ def minimal_patches(pairs: DataFrame, *keys: str) -> DataFrame:
     edits at other places of a line can stand beside it. No patch begins or ends inside a character. start counts code
     points from 0; equal texts give an empty patch; a null text gives nulls."""
     own = pairs.select(*keys, F.col("before").alias("b"), F.col("after").alias("a"))
-    own = own.withColumns({"bs": F.split("b", ""), "as": F.split("a", "")})
-    # an empty text has no characters, though splitting it gives one empty piece
     own = own.withColumns({"nb": F.char_length("b"), "na": F.char_length("a")})
-    own = own.withColumn("p", _alike(F.col("bs"), F.col("as"), F.least("nb", "na")))
+    own = own.withColumn("p", _alike(lambda x, n, m: F.substring(F.col(x), n + 1, m), F.least("nb", "na")))
     inside = continued(F.col("b"), F.col("p")) | continued(F.col("a"), F.col("p"))
     shared = F.substring("b", 1, F.col("p"))
     own = own.withColumn("p", F.when(inside, F.col("p") - last_whole(shared)).otherwise(F.col("p")))
-    own = own.withColumn("s", _alike(F.reverse("bs"), F.reverse("as"), F.least("nb", "na") - F.col("p")))
+    own = own.withColumn("s", _alike(lambda x, n, m: F.substring(F.col(x), F.col("n" + x) - n - m + 1, m), F.least("nb", "na") - F.col("p")))
     inside = (F.col("s") > 0) & (continued(F.col("b"), F.col("nb") - F.col("s")) | continued(F.col("a"), F.col("na") - F.col("s")))
     shared = F.substring(F.col("b"), F.col("nb") - F.col("s") + 1, F.col("s"))
     own = own.withColumn("s", F.when(inside, F.col("s") - first_whole(shared)).otherwise(F.col("s")))

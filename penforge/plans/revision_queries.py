@@ -36,9 +36,8 @@ def minimal_patches(spark, sf_dir):
     # the first e of each text gets an accent of its own, which the patch may not part from it
     docs = _table(spark, sf_dir, "documents").where(F.contains("text", F.lit("e"))).select("doc_id", F.col("text").alias("before"))
     pairs = docs.withColumn("after", F.concat(F.substring_index("before", "e", 1), F.lit("e\u0301"), F.expr("substring(before, instr(before, 'e') + 1)")))
-    patches = revision.minimal_patches(pairs, "doc_id")
-    joined = patches.join(docs.withColumnRenamed("before", "text"), "doc_id")
-    return joined.select("doc_id", "start", "before", "after", F.sha2(revision.patched(F.col("text"), F.col("start"), F.col("before"), F.col("after")), 256).alias("patched_sha256"))
+    patches = revision.minimal_patches(pairs.withColumn("text", F.col("before")), "doc_id", "text")
+    return patches.select("doc_id", "start", "before", "after", F.sha2(revision.patched(F.col("text"), F.col("start"), F.col("before"), F.col("after")), 256).alias("patched_sha256"))
 
 
 @query("change_context", """

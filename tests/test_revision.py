@@ -6,6 +6,7 @@ import unicodedata
 from hypothesis import given, settings, strategies as st
 
 from penforge.operators import revision
+from penforge.plans import revision_queries
 from pyspark.sql import functions as F
 
 BITS = ["a", "b", "é", "é", "́", "👍", "🏽", "‍", "👩", "🇩", "🇪", "中", "\n", " ", "😀"]
@@ -129,3 +130,11 @@ def test_a_search_that_gives_up_is_not_begun_and_a_small_table_gives_the_same_pa
     for _ in range(300):
         a, b = ([rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 12, 60]))] for alphabet in ("abc", rng.choice(["abc", "cdefgh"])))
         assert revision._edits_by_table(a, b) == revision._edits_by_rounds(a, b)
+
+
+def test_minimal_patches_query_needs_no_join(spark, tmp_path):
+    # rows that share a doc_id are patched each for itself
+    spark.createDataFrame([(1, "ne plus"), (1, "le 👩"), (2, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = revision_queries.minimal_patches(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.start, r.before, r.after) for r in out.collect()) == [(1, 1, "e", "é"), (1, 1, "e", "é")]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
