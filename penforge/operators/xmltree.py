@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 LIMIT, DEEPEST = 20 * 2**20, 300
+#: Rows that leave a task at once, or characters of the documents they come from.
+BATCH_ROWS, BATCH_CHARS = 10_000, 4_000_000
 
 # Names of the block language.
 KEYS = ("id", "block-id", "block_id")
@@ -170,17 +172,30 @@ def block_rows(xml: str) -> Iterator[tuple]:
 
 
 def _table(docs: DataFrame, read, kind: str) -> DataFrame:
-    """The rows that read gives for each document; a batch holds the rows of one document."""
+    """The rows that read gives for each document; those of several documents leave a task together, in batches of about
+    BATCH_ROWS rows or BATCH_CHARS characters of documents."""
     names = [c.split()[0] for c in kind.split(", ")]
     types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
     schema = pa.schema([(n, types[c.split()[1]]) for n, c in zip(names, kind.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
+
+        def leave() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+            rows.clear()
+            return out
+
         for batch in batches:
             for doc_id, xml, *more in zip(*[c.to_pylist() for c in batch.columns]):
-                rows = [(doc_id, *r) for r in read(xml, *more)] if xml is not None else []
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                if xml is not None:
+                    rows += [(doc_id, *r) for r in read(xml, *more)]
+                    chars += len(xml)
+                if rows and (len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS):
+                    yield leave()
+                    chars = 0
+        if rows:
+            yield leave()
 
     return docs.mapInArrow(run, kind)
 

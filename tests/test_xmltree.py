@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from penforge.operators import xmltree as X
@@ -126,3 +127,15 @@ def test_patches_fail_by_kind_and_the_rest_is_put_in(spark):
     for expected, failure in [([after], None), ([after, after], "expected_fingerprints_mismatch"), ([""], "expected_fingerprints_mismatch"), ([good], "expected_fingerprint_mismatch"), (None, "expected_fingerprints_mismatch")]:
         told = spark.createDataFrame([(1, expected)], "doc_id long, expected array<string>")
         assert X.fingerprint_failures(done, told).first().failure == failure
+
+
+def test_rows_of_many_documents_leave_a_task_together(spark, monkeypatch):
+    taken = {}
+    docs = spark.createDataFrame([(1, "<p>a</p>")], "doc_id long, xml string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, kind, *more: taken.update(run=run) or self)
+    monkeypatch.setattr(X, "BATCH_ROWS", 50)
+    X.blocks(docs)
+    batch = pa.record_batch([list(range(100)), [None if n == 5 else "<p>a</p><p>b</p>" for n in range(100)]], ["doc_id", "xml"])
+    out = list(taken["run"](iter([batch])))
+    assert [b.num_rows for b in out] == [50, 50, 50, 48]
+    assert [r["doc_id"] for b in out for r in b.to_pylist()] == [n for n in range(100) if n != 5 for _ in "ab"]
